@@ -162,7 +162,7 @@ def segment_terms(spark, sf):
     + "SELECT doc_id, pos, term FROM tok WHERE term NOT IN (SELECT term FROM stops)",
 )
 def remove_stopwords(spark, sf):
-    by_lang = T.token_table(table(spark, sf, "documents"), keep=("lang",)).groupBy("lang", "term").count()
+    by_lang = T.token_table(table(spark, sf, "documents"), keep=("doc_id", "lang")).groupBy("lang", "term").count()
     order = W.partitionBy("lang").orderBy(F.desc("count"), F.asc("term"))
     top = by_lang.withColumn("rn", F.row_number().over(order)).where("rn <= 20").select("term").distinct()
     return T.remove_stopwords(doc_tokens(spark, sf), materialize(top, "stops")).select("doc_id", "pos", "term")

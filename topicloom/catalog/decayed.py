@@ -59,9 +59,7 @@ def _reused(spark, sf, vocab):
 )
 def reset_new_rows(spark, sf):
     vocab, rows = stored_rows(spark, sf)
-    return wide(decay.reset_new_rows(rows, _reused(spark, sf, vocab), BATCHES, PARAMS), "wid").join(
-        decay.reset_new_rows(rows, _reused(spark, sf, vocab), BATCHES, PARAMS).select("wid", "last_batch"), "wid"
-    )
+    return wide(decay.reset_new_rows(rows, _reused(spark, sf, vocab), BATCHES, PARAMS), "wid", "last_batch")
 
 
 @query(

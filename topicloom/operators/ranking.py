@@ -9,27 +9,37 @@ from pyspark.sql import functions as F
 from topicloom.storage import materialize
 
 
-def with_global_rank(df: DataFrame, order: list[Column], name: str, start: int | Column = 1) -> DataFrame:
+def global_rank(df: DataFrame, order: list[Column], name: str, start: int | Column = 1) -> tuple[DataFrame, int]:
     """Number all rows 'start, start+1, ...' in ``order`` without a one-task window.
 
     Rows are range-partitioned and sorted; every row notes its partition and its
     place there; the place is then shifted by the sizes of the partitions before.
     The sorted rows are written once in between, so both passes see the same
     boundaries even if an executor is lost. ``order`` should be unique per row.
+    Returns the numbered rows and how many there are.
     """
     places = materialize(df.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()), "ranked")
     part = F.shiftright("_place", 33)
-    sizes = places.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
-    # One row per sort partition, so this ordered window and the broadcast stay small.
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    shifts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
+    # One number per sort partition comes to the driver, and goes back as a list.
+    sizes = places.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size")).orderBy("_part").collect()
+    rows, before = [], 0
+    for number, size in sizes:
+        rows.append(f"({number}L, {before}L)")
+        before += size
+    listed = ", ".join(rows) or "(0L, 0L)"
+    shifts = df.sparkSession.sql(f"SELECT * FROM VALUES {listed} AS t(_part, _shift)")
     first = start if isinstance(start, Column) else F.lit(start)
-    return (
+    ranked = (
         places.withColumn("_part", part)
         .join(F.broadcast(shifts), "_part")
         .withColumn(name, (F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_shift") + first).cast("bigint"))
         .drop("_place", "_part", "_shift")
     )
+    return ranked, before
+
+
+def with_global_rank(df: DataFrame, order: list[Column], name: str, start: int | Column = 1) -> DataFrame:
+    return global_rank(df, order, name, start)[0]
 
 
 def top_words(cells: DataFrame, t: int, word: str = "term", value: str = "cnt") -> DataFrame:

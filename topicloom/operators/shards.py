@@ -102,36 +102,40 @@ def _sweep(word, doc, topic, a, b, t, rng, block):
     """
     k = len(t)
     drawn = topic.copy()
+    flat_a, flat_b = a.reshape(-1), b.reshape(-1)
     for start in range(0, len(topic), block):
         stop = min(start + block, len(topic))
         w, d, z = word[start:stop], doc[start:stop], topic[start:stop]
-        row = np.arange(stop - start)
-        left, right, below = a[d], b[w], np.broadcast_to(t, (stop - start, k)).copy()
-        left[row, z] -= 1.0
-        right[row, z] -= 1.0
-        below[row, z] -= 1.0
-        running = np.cumsum(left * right / below, axis=1)
-        mark = rng.random(stop - start) * running[:, -1]
-        new = np.minimum((running <= mark[:, None]).sum(axis=1), k - 1).astype(topic.dtype)
-        moved = new != z
-        if moved.any():
-            w, d, z, y = w[moved], d[moved], z[moved], new[moved]
-            np.subtract.at(a, (d, z), 1.0)
-            np.add.at(a, (d, y), 1.0)
-            np.subtract.at(b, (w, z), 1.0)
-            np.add.at(b, (w, y), 1.0)
-            t += np.bincount(y, minlength=k) - np.bincount(z, minlength=k)
+        at_w, at_d = w * k, d * k
+        weight = a[d]
+        weight *= b[w]
+        weight /= t
+        # Only the token's own topic counts the token itself: put that cell right.
+        own = np.arange(stop - start) * k + z
+        weight.reshape(-1)[own] = (flat_a[at_d + z] - 1.0) * (flat_b[at_w + z] - 1.0) / (t[z] - 1.0)
+        np.cumsum(weight, axis=1, out=weight)
+        mark = rng.random(stop - start) * weight[:, -1]
+        new = np.minimum((weight <= mark[:, None]).sum(axis=1), k - 1).astype(topic.dtype)
+        moved = np.flatnonzero(new != z)
+        x, y, at_w, at_d = z[moved], new[moved], at_w[moved], at_d[moved]
+        np.subtract.at(flat_a, at_d + x, 1.0)
+        np.add.at(flat_a, at_d + y, 1.0)
+        np.subtract.at(flat_b, at_w + x, 1.0)
+        np.add.at(flat_b, at_w + y, 1.0)
+        t += np.bincount(y, minlength=k) - np.bincount(x, minlength=k)
         drawn[start:stop] = new
     return drawn
 
 
+def _lists(values, lengths) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), values)
+
+
 def _shard_kernel(params: TopicParams, totals: list[float], fill: float, own: bool, sweeps: int, kept: int, first: int):
-    """Arrow function of one shard: (segments, model rows) -> segments per kept sweep."""
+    """Arrow function of one shard: (segments, model rows) -> segments with samples."""
     k, alpha, seed, block = params.num_topics, float(params.alpha), params.seed, params.block_tokens
 
     def run(key, segments: pa.Table, rows: pa.Table) -> pa.Table:
-        if segments.num_rows == 0:
-            return segments.append_column("sweep", pa.array([], pa.int32()))
         segments = segments.sort_by([("doc_id", "ascending"), ("seg", "ascending")])
         wid, lengths = _flat(segments["wid"])
         topic = _flat(segments["topic"])[0].astype(np.int32)
@@ -151,16 +155,20 @@ def _shard_kernel(params: TopicParams, totals: list[float], fill: float, own: bo
             np.add.at(b, (word, topic), 1.0)
             t += np.bincount(topic, minlength=k)
 
-        out = []
+        samples = []
         for sweep in range(first, first + sweeps):
             rng = np.random.Generator(np.random.Philox(key=[seed, (int(key[0].as_py()) << 20) + sweep]))
             topic = _sweep(word, doc, topic, a, b, t, rng, block)
-            if sweep >= first + sweeps - kept:
-                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), topic)
-                at = segments.schema.get_field_index("topic")
-                table = segments.set_column(at, "topic", lists)
-                out.append(table.append_column("sweep", pa.array(np.full(table.num_rows, sweep, np.int32))))
-        return pa.concat_tables(out)
+            if sweep >= first + sweeps - kept and kept > 1:
+                samples.append(topic)
+        out = segments.set_column(segments.schema.get_field_index("topic"), "topic", _lists(topic, lengths))
+        if kept > 1:
+            # Per segment: the topics of every kept sweep, oldest first.
+            order = np.argsort(np.tile(doc, kept), kind="stable")
+            flat = np.concatenate(samples)[order].astype(np.int32)
+            inner = _lists(flat, np.repeat(lengths, kept))
+            out = out.append_column("samples", _lists(inner, np.full(segments.num_rows, kept)))
+        return out
 
     return run
 
@@ -174,11 +182,33 @@ def sweep_shards(
     ``totals`` are the smoothed topic totals (K numbers). Word rows are the
     pulled rows plus ``fill``; with ``own_counts`` the shard's own counts are
     added to rows and totals (for a model that does not yet contain them).
-    Returns the packed rows of the last ``kept`` sweeps with a ``sweep`` column.
+    Returns the packed rows with the last topics and, for ``kept`` > 1, the
+    column ``samples``: one array of topics per kept sweep, oldest first.
     """
-    kernel = _shard_kernel(params, totals, fill, own_counts, sweeps, min(kept, sweeps), first)
+    kept = min(kept, sweeps)
+    kernel = _shard_kernel(params, totals, fill, own_counts, sweeps, kept, first)
+    schema = PACKED + (", samples array<array<int>>" if kept > 1 else "")
     rows = pull_shard_rows(packed, model_rows)
-    return packed.groupBy("shard").cogroup(rows.groupBy("shard")).applyInArrow(kernel, PACKED + ", sweep int")
+    return packed.groupBy("shard").cogroup(rows.groupBy("shard")).applyInArrow(kernel, schema)
+
+
+def sample_counts(swept: DataFrame, k: int) -> DataFrame:
+    """(wid, n): mean counts over the kept samples."""
+    if "samples" not in swept.columns:
+        return packed_counts(swept, k)
+    kept = swept.select("wid", F.size("samples").alias("_s"), F.explode("samples").alias("topic"))
+    pairs = kept.select("_s", F.explode(F.arrays_zip("wid", "topic")).alias("t")).select("t.wid", "t.topic", "_s")
+    return pairs.groupBy("wid").agg(V.count_topics(F.col("topic"), k, F.lit(1.0) / F.col("_s")).alias("n"))
+
+
+def sample_tokens(swept: DataFrame, last: int) -> DataFrame:
+    """(doc_id, pos, wid, topic, sweep) of the kept samples; ``last`` is the newest sweep."""
+    if "samples" not in swept.columns:
+        return unpack_tokens(swept).withColumn("sweep", F.lit(last))
+    one = swept.select(
+        "doc_id", "pos", "wid", F.size("samples").alias("_s"), F.posexplode("samples").alias("_i", "topic")
+    )
+    return unpack_tokens(one.withColumn("sweep", (F.lit(last + 1) - F.col("_s") + F.col("_i")).cast("int")), "sweep")
 
 
 def shard_count(tokens: int, params: TopicParams, at_least: int = 1) -> int:

@@ -43,11 +43,14 @@ def keyed_join(
 ) -> DataFrame:
     """Join on ``key``; rows of hot keys are spread by the ``spread`` columns.
 
-    ``right`` holds one row per key. Works for inner, left, left_semi and
-    left_anti joins, since each left row meets exactly one copy of its right row.
+    ``right`` holds one row per key and is the side that is hashed: left sides
+    are exploded tokens, whose size the optimizer takes for that of the unsplit
+    text, so it must not pick the side to build or broadcast from. Works for
+    inner, left, left_semi and left_anti joins, since each left row meets
+    exactly one copy of its right row.
     """
     if hot is None:
-        return left.join(right, key, how)
+        return left.join(right.hint("shuffle_hash"), key, how)
     salt = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_salts")), F.lit(0)).cast("int")
     salted = left.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_salts")
     copies = (
@@ -55,7 +58,7 @@ def keyed_join(
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
         .drop("_salts")
     )
-    return salted.join(copies, [key, "_salt"], how).drop("_salt")
+    return salted.join(copies.hint("shuffle_hash"), [key, "_salt"], how).drop("_salt")
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from topicloom.functions.text import Segmenter, single_line, whitespace_terms
 from topicloom.operators.skew import fits_broadcast, hot_keys, keyed_join
+from topicloom.storage import spread
 
 IN_ROW_STOPS = 200
 
 
 def token_table(docs: DataFrame, segment: Segmenter = whitespace_terms, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per token: ``keep`` columns, ``pos`` and ``term``. No shuffle."""
-    return docs.select(*keep, F.posexplode(segment(F.col(text))).alias("pos", "term"))
+    """One row per token: ``keep`` columns, ``pos`` and ``term``. A large
+    input is not shuffled."""
+    spread_docs = spread(docs.select(*dict.fromkeys((*keep, text))), keep[0])
+    return spread_docs.select(*keep, F.posexplode(segment(F.col(text))).alias("pos", "term"))
 
 
 def term_frequency(tokens: DataFrame) -> DataFrame:
@@ -99,7 +102,7 @@ def segment_corpus(docs: DataFrame, segment: Segmenter, stops: DataFrame, text:
     Documents left without terms stay, empty.
     """
     listed = stops.select("term").distinct()
-    terms = docs.select("doc_id", segment(single_line(F.col(text))).alias("terms"))
+    terms = spread(docs.select("doc_id", text), "doc_id").select("doc_id", segment(single_line(F.col(text))).alias("terms"))
     if fits_broadcast(listed, IN_ROW_STOPS):
         words = listed.agg(F.collect_set("term")).scalar()
         kept = F.filter("terms", lambda term: ~F.array_contains(F.col("_stops"), term))

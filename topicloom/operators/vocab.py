@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.operators.ranking import with_global_rank
+from topicloom.operators.ranking import global_rank, with_global_rank
 from topicloom.storage import materialize
 
 SCHEMA = "term string, wid bigint, last_seen bigint, use_count bigint"
@@ -88,12 +88,13 @@ class VocabStep:
     """State after an addition, and what each offered term got.
 
     ``issued(term, freq, wid)`` has wid -1 for terms that found no place;
-    ``evicted(term, wid)`` are the rows that left.
+    ``evicted(term, wid)`` are the rows that left; ``size`` is the new size.
     """
 
     vocab: DataFrame
     issued: DataFrame
     evicted: DataFrame
+    size: int
 
 
 def vocab_add(vocab: DataFrame, freqs: DataFrame, t: int, capacity: int, size: int | None = None) -> VocabStep:
@@ -103,9 +104,8 @@ def vocab_add(vocab: DataFrame, freqs: DataFrame, t: int, capacity: int, size: i
     recently seen unpinned term; the rest get -1.
     """
     size = vocab.count() if size is None else size
-    ranked = with_global_rank(freqs.select("term", "freq"), [F.desc("freq"), F.asc("term")], "rn")
+    ranked, offered = global_rank(freqs.select("term", "freq"), [F.desc("freq"), F.asc("term")], "rn")
     free = max(capacity - size, 0)
-    offered = ranked.agg(F.max("rn")).first()[0] or 0
     minus_one = F.lit(-1).cast("bigint")
     if offered > free:
         freed = lru_candidates(vocab, t, offered - free).select(
@@ -126,7 +126,9 @@ def vocab_add(vocab: DataFrame, freqs: DataFrame, t: int, capacity: int, size: i
         "term", "wid", F.lit(t).cast("bigint").alias("last_seen"), F.lit(0).cast("bigint").alias("use_count")
     )
     stayed = vocab.join(evicted.select("term"), "term", "left_anti") if offered > free else vocab
-    return VocabStep(stayed.unionByName(entered), placed.select("term", "freq", "wid"), evicted)
+    return VocabStep(
+        stayed.unionByName(entered), placed.select("term", "freq", "wid"), evicted, size + min(offered, free)
+    )
 
 
 @dataclass
@@ -159,6 +161,4 @@ def vocab_update_batch(
     step = vocab_add(held, looked.where(F.col("_wid").isNull()), t, capacity, size)
     released = vocab_use_counts(step.vocab, known.select("term", F.lit(-1).alias("step")))
     term_ids = known.select("term", "freq", F.col("_wid").alias("wid")).unionByName(step.issued)
-    issued = step.issued.where("wid >= 0")
-    grown = min(capacity, size + step.issued.count()) if size < capacity else size
-    return VocabBatch(released, term_ids, issued, step.evicted, grown)
+    return VocabBatch(released, term_ids, step.issued.where("wid >= 0"), step.evicted, step.size)

@@ -29,7 +29,7 @@ class TopicParams:
 
     # Ours: randomness and shard layout.
     seed: int = 42
-    tokens_per_shard: int = 500_000
+    tokens_per_shard: int = 200_000
     segment_tokens: int = 65_536
     block_tokens: int = 2_048
 

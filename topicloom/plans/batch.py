@@ -72,7 +72,7 @@ def fit_distributed(
         source = shards.refresh_base(packed, params) if several else packed
         swept = shards.sweep_shards(source, rows, smooth, params, fill=float(params.beta), first=sweep)
         old = (packed, rows)
-        packed = work.save(swept.drop("sweep"), f"sweep{sweep}")
+        packed = work.save(swept, f"sweep{sweep}")
         rows = work.save(shards.packed_counts(packed, k), f"rows{sweep}")
         totals = C.totals_list(rows, k)
         for table in old:
@@ -126,7 +126,7 @@ def heldout_samples(test: DataFrame, model: TopicModel, samples: int = 2, segmen
         smooth = [value + size * params.beta for value in C.totals_list(rows, k)]
         source = shards.refresh_base(packed, params) if several else packed
         swept = shards.sweep_shards(source, rows, smooth, params, fill=float(params.beta), first=sweep)
-        packed = work.save(swept.drop("sweep"), f"test-sweep{sweep}")
+        packed = work.save(swept, f"test-sweep{sweep}")
         if sweep > samples:
             kept.append(shards.unpack_tokens(packed).withColumn("sweep", F.lit(sweep)))
     merged = kept[0]
@@ -145,8 +145,8 @@ def infer_batch(
     shard_number: int, work: Workspace,
 ) -> DataFrame:
     """Inner loop of the streaming trainer: uniform start, ``batch_iterations``
-    sweeps per shard against one prior snapshot, packed rows of the last
-    ``kept_samples`` sweeps.
+    sweeps per shard against one prior snapshot; packed rows with the last
+    ``kept_samples`` sweeps as samples.
 
     ``prior_rows`` already hold beta; every shard adds its own counts.
     """

@@ -57,6 +57,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return Workspace(df.sparkSession).save(df, label)
 
 
+SPREAD_BYTES = 16 << 20
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash a small input over all cores before heavy per-row work.
+
+    A table of one or two files would otherwise be tokenised by one or two
+    tasks. Only inputs under ``SPREAD_BYTES`` per core are moved, so a large
+    table, which has splits enough, is never shuffled for this.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, key) if size < cores * SPREAD_BYTES else df
+
+
 def _filesystem(spark: SparkSession, path: str):
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
