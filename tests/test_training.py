@@ -11,7 +11,7 @@ from topicloom.operators import tokens as T
 from topicloom.params import TopicParams
 from topicloom.plans import batch, online
 from topicloom.sources import documents as D
-from topicloom.storage import materialize
+from topicloom.storage import list_names, materialize, shared_root
 from topicloom.streaming.trainer import StreamTrainer
 
 PARAMS = TopicParams(num_topics=2, alpha=0.5, beta=0.1, tokens_per_shard=500, block_tokens=16, duration=1)
@@ -144,6 +144,7 @@ def test_stream_equals_batches_and_repeats_change_nothing(spark, planted, folder
     cut = D.micro_batches(planted, 20)
     for b in range(3):
         cut.where(f"batch_id = {b}").drop("batch_id").coalesce(1).write.parquet(f"{folder}/in/part{b}")
+    existing = list_names(spark, shared_root(spark))
     by_hand = StreamTrainer(spark, f"{folder}/hand", STREAM)
     for b in range(3):
         by_hand.process(spark.read.parquet(f"{folder}/in/part{b}"), b)
@@ -152,6 +153,7 @@ def test_stream_equals_batches_and_repeats_change_nothing(spark, planted, folder
     check = by_hand.consistency().first()
     assert check["row_sum"] == pytest.approx(check["total_sum"]) and check["late_rows"] == 0
 
+    assert list_names(spark, shared_root(spark)) == existing
     by_hand.process(spark.read.parquet(f"{folder}/in/part2"), 2)
     assert state_of(by_hand) == state
 

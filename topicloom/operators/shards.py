@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions import vectors as V
+from topicloom.operators.skew import hot_keys, keyed_join
 from topicloom.params import TopicParams
 
 # Workers need no copy of this package: the kernel travels with the task.
@@ -55,7 +56,9 @@ def refresh_base(packed: DataFrame, params: TopicParams) -> DataFrame:
     long_docs = per_segment.where("seg > 0").select("doc_id").distinct()
     per_segment = per_segment.join(long_docs, "doc_id", "left_semi")
     whole = per_segment.groupBy("doc_id").agg(V.sum_cells(F.col("_own"), k).alias("_doc"))
-    others = per_segment.join(whole, "doc_id").select(
+    sizes = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
+    hot = hot_keys(sizes, "doc_id", "_rows")
+    others = keyed_join(per_segment, whole, "doc_id", "inner", hot, ("seg",)).select(
         "doc_id", "seg", V.elementwise(lambda x, y: x - y, k, F.col("_doc"), F.col("_own")).alias("base")
     )
     return packed.drop("base").join(others, ["doc_id", "seg"], "left").select(*packed.columns)

@@ -117,13 +117,16 @@ def heldout_samples(test: DataFrame, model: TopicModel, samples: int = 2, segmen
         shards.pack_segments(encoded, params, shards.shard_count(token_number, params)), "test-start"
     )
     several = packed.where("seg > 0").limit(1).count() > 0
+    # Only the rows of the test words take part; the totals are those of the whole model.
+    own = model.rows.select("wid", "n").join(
+        vocab.join(freqs.select("term"), "term", "left_semi").select("wid"), "wid", "left_semi"
+    )
+    own = work.save(own, "test-model")
     kept = []
     for sweep in range(1, 2 * samples + 1):
-        rows = work.save(
-            C.merge_online_model(model.rows.select("wid", "n"), shards.packed_counts(packed, k), "wid", k),
-            f"test-rows{sweep}",
-        )
-        smooth = [value + size * params.beta for value in C.totals_list(rows, k)]
+        counts = work.save(shards.packed_counts(packed, k), f"test-counts{sweep}")
+        rows = work.save(C.merge_online_model(own, counts, "wid", k), f"test-rows{sweep}")
+        smooth = [m + c + size * params.beta for m, c in zip(model.totals, C.totals_list(counts, k))]
         source = shards.refresh_base(packed, params) if several else packed
         swept = shards.sweep_shards(source, rows, smooth, params, fill=float(params.beta), first=sweep)
         packed = work.save(swept, f"test-sweep{sweep}")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,13 +28,30 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+_open: ContextVar[Workspace | None] = ContextVar("open_workspace", default=None)
+
+
 class Workspace:
-    """Named working tables of one job, under one fresh folder."""
+    """Named working tables of one job, under one fresh folder.
+
+    Used as a context manager, it also takes the tables that operators save for
+    themselves and deletes them all on exit; results must have been written
+    elsewhere by then.
+    """
 
     def __init__(self, spark: SparkSession, root: str | None = None) -> None:
         self.spark = spark
         self.path = f"{root or shared_root(spark)}/work-{uuid.uuid4().hex}"
         self._serial = 0
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def __enter__(self) -> Workspace:
+        self._token = _open.set(self)
+        return self
+
+    def __exit__(self, *exc) -> None:
+        _open.reset(self._token)
+        remove_path(self.spark, self.path)
 
     def new_path(self, label: str) -> str:
         self._serial += 1
@@ -43,18 +61,19 @@ class Workspace:
         """Write ``df`` once and return the table read back."""
         path = self.new_path(label)
         df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(table)] = (table, path)
+        return table
 
     def drop(self, table: DataFrame) -> None:
         """Delete a table this workspace saved (superseded sweeps would pile up)."""
-        for path in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
-            if self.path.split(":")[-1] in path:
-                remove_path(self.spark, path)
+        _, path = self._paths.pop(id(table))
+        remove_path(self.spark, path)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Save ``df`` in a workspace of its own."""
-    return Workspace(df.sparkSession).save(df, label)
+    """Save ``df`` in the open workspace, or in one of its own."""
+    return (_open.get() or Workspace(df.sparkSession)).save(df, label)
 
 
 SPREAD_BYTES = 16 << 20
