@@ -21,7 +21,7 @@ def keyed_uniform(seed: int, *key: Column | int) -> Column:
         (part if isinstance(part, Column) else F.lit(part)).cast("string") for part in key
     ]
     digits = F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8)
-    return F.conv(digits, 16, 10).cast("double") / F.lit(4294967296.0)
+    return F.conv(digits, 16, 10).cast("bigint").cast("double") / F.lit(4294967296.0)
 
 
 Weight = Callable[[int | Column], Column]
