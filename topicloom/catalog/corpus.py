@@ -15,7 +15,7 @@ from topicloom.operators import tokens as T
 from topicloom.operators.vocab import build_vocab_sorted
 from topicloom.sources import documents as D
 from topicloom.sources import sinks
-from topicloom.storage import Workspace, materialize
+from topicloom.storage import Workspace, is_directory, list_names, materialize
 
 NEWLINES = "translate(text, chr(10) || chr(13), '  ')"
 LETTERS = r"list_filter(string_split_regex(lower({text}), '[^\p{L}]+'), lambda x: x <> '')"
@@ -41,13 +41,20 @@ def read_json_events(spark, sf):
     return table(spark, sf, "events").select("event_id", json_field(F.col("props"), "k").cast("bigint").alias("k"))
 
 
-def staged(spark, sf, work: Workspace) -> str:
-    """The documents as one file per micro-batch, for queries that need several
-    batches from a table that may be a single file."""
-    path = work.new_path("staged")
-    cut = D.micro_batches(docs(spark, sf), chunk_of(spark, sf))
-    cut.repartition(BATCHES, "batch_id").write.partitionBy("batch_id").parquet(path)
-    return path
+def streamed(spark, sf, work: Workspace):
+    """The documents as a stream of about ``BATCHES`` micro-batches.
+
+    A table folder is streamed as it is. A table that is one file would be one
+    batch, so it is first cut into one file per batch.
+    """
+    path, files = f"{sf}/documents.parquet", BATCHES
+    if is_directory(spark, path):
+        files = sum(name.endswith(".parquet") for name in list_names(spark, path))
+    else:
+        cut = D.micro_batches(docs(spark, sf), chunk_of(spark, sf))
+        path = work.new_path("staged")
+        cut.write.partitionBy("batch_id").parquet(path)
+    return D.stream_docs(spark, path, "doc_id bigint, text string", -(-files // BATCHES))
 
 
 @query("stream_read_docs", "SELECT doc_id, text FROM documents")
