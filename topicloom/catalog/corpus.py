@@ -6,8 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from topicloom.catalog.registry import (
-    BATCHES, CHUNK, DOC_TOKENS, TALK_TOKENS, chunk_of, doc_tokens, docs, drawn, drawn_sql, freq_sql, query,
-    table, talk_tokens, tokens_sql, topic_sql, vocab_sql, with_sql, PARAMS, K,
+    BATCHES, CHUNK, DOC_TOKENS, TALK_TOKENS, chunk_of, doc_tokens, docs, drawn_sql, freq_sql, query,
+    table, talk_tokens, vocab_sql, with_sql, PARAMS, K,
 )
 from topicloom.functions.sampling import keyed_uniform
 from topicloom.functions.text import json_terms, letter_terms, single_line, whitespace_terms

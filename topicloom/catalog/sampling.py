@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from topicloom.catalog.registry import (
-    DOC_TOKENS, ENCODED, ITEM_TOKENS, K, PARAMS, TALK_TOKENS, cells_sql, doc_tokens, drawn, drawn_sql, draw_sql,
-    encoded, freq_sql, item_tokens, query, sums_sql, talk_tokens, topic_sql, uniform_sql, wide, with_sql,
+    DOC_TOKENS, ENCODED, K, PARAMS, TALK_TOKENS, cells_sql, doc_tokens, drawn, drawn_sql, draw_sql,
+    encoded, freq_sql, query, sums_sql, talk_tokens, topic_sql, uniform_sql, wide, with_sql,
 )
-from topicloom.catalog.relational import BOTH_ROWS, DOC_ROWS, doc_rows, talk_rows
+from topicloom.catalog.relational import BOTH_ROWS, DOC_ROWS, doc_rows
 from topicloom.functions import sampling as S
 from topicloom.functions import vectors as V
 from topicloom.operators import counts as C
