@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from topicloom.llm.metricjoin import vector_links
 from topicloom.llm.minhash import near_duplicates
 from topicloom.llm.registry import query, table
 from topicloom.llm.substrings import without_repeats
@@ -19,3 +20,8 @@ def op2_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op6_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     cut = without_repeats(table(spark, sf, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op10_metric_range_join")
+def op10_metric_range_join(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_links(table(spark, sf, "embeddings"))
