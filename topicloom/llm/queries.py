@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from topicloom.llm.fertility import quality
 from topicloom.llm.metricjoin import vector_links
 from topicloom.llm.minhash import near_duplicates
+from topicloom.llm.mixing import taken
+from topicloom.llm.packing import packed
 from topicloom.llm.registry import query, table
 from topicloom.llm.substrings import without_repeats
 
@@ -25,3 +28,18 @@ def op6_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_metric_range_join")
 def op10_metric_range_join(spark: SparkSession, sf: str) -> DataFrame:
     return vector_links(table(spark, sf, "embeddings"))
+
+
+@query("op3_tokeniser_fertility")
+def op3_tokeniser_fertility(spark: SparkSession, sf: str) -> DataFrame:
+    return quality(table(spark, sf, "documents"))
+
+
+@query("op5_best_fit_packing")
+def op5_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packed(table(spark, sf, "documents"))
+
+
+@query("op8_source_mixing")
+def op8_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return taken(table(spark, sf, "documents"))
