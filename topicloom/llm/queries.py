@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from topicloom.llm import licenses
 from topicloom.llm.fertility import quality
 from topicloom.llm.metricjoin import vector_links
 from topicloom.llm.minhash import near_duplicates
@@ -14,6 +15,11 @@ from topicloom.llm.registry import query, table
 from topicloom.llm.substrings import without_repeats
 
 
+@query("op1_license_scan", licenses.oracle_sql())
+def op1_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf, "documents"))
+
+
 @query("op2_minhash_near_dedup")
 def op2_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"))
