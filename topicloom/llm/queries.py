@@ -12,6 +12,7 @@ from topicloom.llm.minhash import near_duplicates
 from topicloom.llm.mixing import taken
 from topicloom.llm.packing import packed
 from topicloom.llm.registry import query, table
+from topicloom.llm.roles import formatted
 from topicloom.llm.substrings import without_repeats
 
 
@@ -49,3 +50,8 @@ def op5_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_source_mixing")
 def op8_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return taken(table(spark, sf, "documents"))
+
+
+@query("op4_chat_role_repair")
+def op4_chat_role_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return formatted(table(spark, sf, "conversations"))
