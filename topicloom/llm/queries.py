@@ -12,6 +12,7 @@ from topicloom.llm.minhash import near_duplicates
 from topicloom.llm.mixing import taken
 from topicloom.llm.packing import packed
 from topicloom.llm.registry import query, table
+from topicloom.llm.resampling import resampled
 from topicloom.llm.roles import formatted
 from topicloom.llm.substrings import without_repeats
 
@@ -55,3 +56,8 @@ def op8_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
 @query("op4_chat_role_repair")
 def op4_chat_role_repair(spark: SparkSession, sf: str) -> DataFrame:
     return formatted(table(spark, sf, "conversations"))
+
+
+@query("op9_importance_resampling")
+def op9_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return resampled(table(spark, sf, "documents"), table(spark, sf, "labels"))
