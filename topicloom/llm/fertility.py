@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.llm.hashing import covered, gram_hashes, word_hashes
@@ -91,23 +91,29 @@ def _measures(folder: str | None):
                 rows.append((len(words), chars, symbols, len(lines) - len(set(lines)), repeats, failed, group, *figures))
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.string()] + [pa.float64()] * 3
             columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
-            yield pa.record_batch([batch.column("doc_id"), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names=NAMES)
+            yield pa.record_batch([batch.column("doc_id"), batch.column("version"), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names=NAMES)
 
     return measure
 
 
-NAMES = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "band", *MEASURES]
+NAMES = ["doc_id", "version", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "band", *MEASURES]
 
 
 def measured(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """Base statistics and fertility figures per row (figures null where the base rules fail)."""
-    schema = ("doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint,"
+    schema = ("doc_id bigint, version bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint,"
               " base_failed boolean, band string, chars_per_token double, byte_share double, entropy double")
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    source = spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", lang.alias("lang")), "doc_id")
+    columns = [F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"), lang.alias("lang")]
+    source = spread(docs.select(*columns, row_version(docs).alias("version")), "doc_id")
     return source.mapInArrow(_measures(folder), schema)
 
 
+def row_version(docs: DataFrame) -> Column:
+    """A hash of what decides a row's verdict, its text and language."""
+    return F.xxhash64("text", F.col("lang").cast("string")) if "lang" in docs.columns else F.xxhash64("text")
+
+
 def bands(figures: DataFrame) -> DataFrame:
     """Lower and upper limits per band group."""
     quartiles = [F.percentile_approx(m, [0.25, 0.75], 10000).alias(m) for m in MEASURES]
@@ -127,4 +133,4 @@ def quality(docs: DataFrame, folder: str | None = None) -> DataFrame:
         inside = inside & F.coalesce(F.col(m).between(F.col(f"{m}_low"), F.col(f"{m}_high")), F.lit(True))
     limits = bands(figures).withColumnRenamed("band", "_band")
     joined = figures.join(limits, F.col("band") == F.col("_band"), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & inside).select(*NAMES[:7], "kept", *MEASURES)
+    return joined.withColumn("kept", ~F.col("base_failed") & inside).select(*NAMES[:8], "kept", *MEASURES)

@@ -29,7 +29,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.llm.graph import running_total
@@ -117,10 +118,10 @@ def _slots(plan: list[dict]):
                 source = np.repeat(np.arange(len(plan)), counts)
                 ordinal = np.concatenate([np.arange(b, b + c) for b, c in zip(before, counts, strict=True)])
                 before, left = before + counts, left - counts
-                block, words = np.zeros(take, np.int64), np.zeros(take, np.int64)
+                block, words, copy = np.zeros(take, np.int64), np.zeros(take, np.int64), np.zeros(take, np.int64)
                 for s in np.flatnonzero(counts):
                     p, own = plan[s], np.flatnonzero(source == s)
-                    epoch = ordinal[own] // p["blocks"]
+                    copy[own] = epoch = ordinal[own] // p["blocks"]
                     for e in np.unique(epoch):
                         at = own[epoch == e]
                         block[at] = permuted(ordinal[at] % p["blocks"], p["blocks"], int(s), int(e))
@@ -128,16 +129,21 @@ def _slots(plan: list[dict]):
                 order = rng.permutation(take)
                 yield pd.DataFrame({
                     "shard": f"{number:08d}-{k:02d}", "slot": np.arange(take), "source_at": source[order].astype(np.int32),
-                    "block": block[order], "words": words[order],
+                    "block": block[order], "words": words[order], "copy": copy[order],
                 })
 
     return strata, draw
 
 
+def row_version(docs: DataFrame) -> Column:
+    """A hash of all columns: rows with the same id and version are the same."""
+    return F.xxhash64(*docs.columns)
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """``(doc_id, source, version, size)`` per row; the version is a hash of the text."""
+    """``(doc_id, source, version, size)`` per row."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("version"), size.alias("size"))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), row_version(docs).alias("version"), size.alias("size"))
 
 
 def mixture(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -145,8 +151,8 @@ def mixture(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Documents: ``doc_id, source, version, size, source_at, source_size, target,
     begin`` (words of the source before it). Spans: ``shard, slot, source_at,
-    block, doc_id, version, begin, from_word, to_word``; words of one slot are in
-    order of ``begin``.
+    block, copy, doc_id, version, begin, from_word, to_word``; words of one slot are
+    in order of ``begin``, and ``copy`` counts how often the block came before.
     """
     spark: SparkSession = docs.sparkSession
     rows = materialize(sized(docs), "sizes")
@@ -164,13 +170,13 @@ def mixture(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.explode(F.sequence(F.floor(F.col("begin") / BLOCK), F.floor(last))).alias("block"))
     strata, draw = _slots(plan)
     slots = spark.range(strata if plan else 0, numPartitions=min(max(strata, 1), 10_000)).mapInPandas(
-        draw, "shard string, slot bigint, source_at int, block bigint, words bigint")
+        draw, "shard string, slot bigint, source_at int, block bigint, words bigint, copy bigint")
     first = F.greatest(F.col("block") * BLOCK - F.col("begin"), F.lit(0))
     behind = F.least(F.col("block") * BLOCK + F.col("words") - F.col("begin"), F.col("size"))
     spans = (
         held.join(slots, ["source_at", "block"])
         .withColumn("from_word", first).withColumn("to_word", behind).where("to_word > from_word")
-        .select("shard", "slot", "source_at", "block", "doc_id", "version", "begin", "from_word", "to_word")
+        .select("shard", "slot", "source_at", "block", "copy", "doc_id", "version", "begin", "from_word", "to_word")
     )
     return placed, spans
 
@@ -182,3 +188,33 @@ def taken(docs: DataFrame) -> DataFrame:
     words = words.withColumn("some", F.lit(True))
     joined = placed.withColumn("some", F.col("size") > 0).join(words, ["source_at", "begin", "some"], "left")
     return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+
+
+def _rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts cut down to the words of their spans; whole ones stay as they are."""
+    for batch in batches:
+        texts = []
+        for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
+            words = text.as_py().encode().split()
+            part = [w for s in sorted(spans, key=lambda s: s["from_word"]) for w in words[s["from_word"] : s["to_word"]]]
+            texts.append(text.as_py() if len(part) == len(words) else b" ".join(part).decode())
+        rest = {c: batch.column(c) for c in batch.schema.names if c not in ("text", "spans")}
+        yield pa.record_batch(rest | {"text": pa.array(texts, pa.string())})
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The mix as documents: a row, with all columns of ``docs``, for each copy of a document's taken words.
+
+    A copy holds each of the document's words at most once, in their order.
+    """
+    _, spans = mixture(docs)
+    parts = spans.groupBy("doc_id", "version", "begin", "copy").agg(F.collect_list(F.struct("from_word", "to_word")).alias("spans"))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    held = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", row_version(docs).alias("version"), F.struct(F.lit(0).alias("_"), *rest).alias("rest"))
+    held = held.dropDuplicates(["doc_id", "version"])  # equal rows: each has its own parts
+    parts = parts.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "spans")
+    joined = held.join(parts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version")))
+    kinds = f"doc_id bigint, rest {held.schema['rest'].dataType.simpleString()}, text string"
+    texts = joined.select("doc_id", "rest", "text", "spans").mapInArrow(_rendered, kinds)
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    return texts.select(*[own.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns])

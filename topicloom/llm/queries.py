@@ -15,6 +15,7 @@ from topicloom.llm.registry import query, table
 from topicloom.llm.resampling import resampled
 from topicloom.llm.roles import formatted
 from topicloom.llm.substrings import without_repeats
+from topicloom.llm.toxicity import scored
 
 
 @query("op1_license_scan", licenses.oracle_sql())
@@ -40,7 +41,7 @@ def op10_metric_range_join(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op3_tokeniser_fertility")
 def op3_tokeniser_fertility(spark: SparkSession, sf: str) -> DataFrame:
-    return quality(table(spark, sf, "documents"))
+    return quality(table(spark, sf, "documents")).drop("version")
 
 
 @query("op5_best_fit_packing")
@@ -61,3 +62,8 @@ def op4_chat_role_repair(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_importance_resampling")
 def op9_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
     return resampled(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op7_noisy_channel_toxicity")
+def op7_noisy_channel_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return scored(table(spark, sf, "documents"), table(spark, sf, "labels"))
