@@ -122,47 +122,52 @@ class Bins:
                 self.change(b, (), (i,), sizes)
 
     def improve(self, sizes: list[int]) -> None:
-        """Empty the least filled bins as long as a step raises the sum of squared fills."""
+        """Take steps that raise the sum of squared fills, emptiest bins first, until none is left or bins are fewest."""
         fewest = -(-sum(sizes) // self.capacity)
         used = sum(1 for b in self.bins if b)
         stuck: set[int] = set()
         while used > fewest:
-            open_bins = [b for b, items in enumerate(self.bins) if items and self.gaps[b] > 0 and b not in stuck]
-            if len(open_bins) < 2:
+            low = next((b for g in self._open_gaps(self.capacity) for b in sorted(self.by_gap[g]) if b not in stuck), None)
+            if low is None:
                 break
-            low = max(open_bins, key=lambda b: (self.gaps[b], -b))
-            while self.bins[low]:
-                step = self._step(low, sizes)
-                if step is None:
-                    stuck.add(low)
-                    break
-                b, out, into = step
-                self.change(low, out, into, sizes)
-                self.change(b, into, out, sizes)
-            else:
-                used -= 1
+            step = self._step(low, sizes)
+            if step is None:
+                stuck.add(low)
+                continue
+            b, out, into = step
+            self.change(low, out, into, sizes)
+            self.change(b, into, out, sizes)
+            used -= not self.bins[low]
+            stuck.clear()
+
+    def _open_gaps(self, most: int) -> list[int]:
+        """Gaps of bins that are not full, greatest first."""
+        return [g for g in range(min(most, self.capacity - 1), 0, -1) if self.mask >> g & 1]
 
     def _step(self, low: int, sizes: list[int]) -> tuple[int, tuple[int, ...], tuple[int, ...]] | None:
-        """(other bin, pieces that go there, pieces that come back): the step that fills the other bin most."""
-        mine = self.bins[low]
+        """(other bin, pieces that go there, pieces that come back): a move, or the exchange that fills the other bin most."""
+        mine, gap_low = self.bins[low], self.gaps[low]
         for i in sorted(mine, key=lambda i: -sizes[i]):
             b = self.tightest(sizes[i], low)
-            if b is not None:
+            if b is not None and self.gaps[b] - sizes[i] < gap_low:
                 return b, (i,), ()
         singles = [((i,), sizes[i]) for i in mine]
         doubles = [((i, j), sizes[i] + sizes[j]) for k, i in enumerate(mine) for j in mine[k + 1 :]]
         best, gain = None, 0
-        for b, items in enumerate(self.bins):
-            gap = self.gaps[b]
-            if b == low or not items or not gap or gap > self.gaps[low] or gap <= gain:
-                continue
-            theirs = [((i,), sizes[i]) for i in items]
-            pairs = [((i, j), sizes[i] + sizes[j]) for k, i in enumerate(items) for j in items[k + 1 :]]
-            for ours, back in ((singles, theirs), (doubles, theirs), (singles, pairs)):
-                for out, give in ours:
-                    for into, take in back:
-                        if gain < give - take <= gap:
-                            best, gain = (b, out, into), give - take
+        for gap in self._open_gaps(gap_low):
+            if gap <= gain:
+                break
+            for b in sorted(self.by_gap[gap]):
+                if b == low:
+                    continue
+                items = self.bins[b]
+                theirs = [((i,), sizes[i]) for i in items]
+                pairs = [((i, j), sizes[i] + sizes[j]) for k, i in enumerate(items) for j in items[k + 1 :]]
+                for ours, back in ((singles, theirs), (doubles, theirs), (singles, pairs)):
+                    for out, give in ours:
+                        for into, take in back:
+                            if gain < give - take <= gap:
+                                best, gain = (b, out, into), give - take
         return best
 
 
