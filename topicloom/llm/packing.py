@@ -4,11 +4,10 @@ A document is its ids and one end id. Longer ones are cut into pieces of
 ``LENGTH`` tokens, the first of which may be shorter. A full piece is a sequence
 of its own. Short pieces are dealt by hash to groups of about ``GROUP``, each
 packed in one task: a best-fit start on falling lengths, then a local search
-that takes the emptiest bin and moves its pieces, or exchanges one for one, two
-for one or one for two, into fuller underfull bins. Every step raises the sum of
-squared fills, so bins run empty; it ends when no step is left or the group's
-bins are as few as its tokens allow. A group leaves at most a few bins underfull
-whatever the corpus size, and no piece leaves its group.
+that takes one of the ``EMPTIEST`` bins and moves its pieces, or exchanges one
+for one, two for one or one for two, into any underfull bin. Every step raises
+the sum of squared fills, so bins run empty; it ends when no step is left or the
+group's bins are as few as its tokens allow.
 
 The tokens are counted once: pieces are saved with a row id that also names
 sequences, so a repeated task gives the same ids. Defined results: null or empty
@@ -21,6 +20,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -33,7 +33,8 @@ from topicloom.storage import materialize, spread
 
 LENGTH = 1024
 END = 2
-GROUP = 16384
+GROUP = 8192
+EMPTIEST = 16
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -122,12 +123,13 @@ class Bins:
                 self.change(b, (), (i,), sizes)
 
     def improve(self, sizes: list[int]) -> None:
-        """Take steps that raise the sum of squared fills, emptiest bins first, until none is left or bins are fewest."""
+        """Take steps that raise the sum of squared fills until bins are fewest or the ``EMPTIEST`` have none left."""
         fewest = -(-sum(sizes) // self.capacity)
         used = sum(1 for b in self.bins if b)
         stuck: set[int] = set()
         while used > fewest:
-            low = next((b for g in self._open_gaps(self.capacity) for b in sorted(self.by_gap[g]) if b not in stuck), None)
+            emptiest = islice((b for g in self._open_gaps(self.capacity) for b in sorted(self.by_gap[g])), EMPTIEST)
+            low = next((b for b in emptiest if b not in stuck), None)
             if low is None:
                 break
             step = self._step(low, sizes)
