@@ -11,10 +11,10 @@ the input. The job:
 2. *Copies*: of documents with one word sequence only the first goes on. The
    others lose every word if they have a window at all, so a group of copies
    costs one member.
-3. *Seeds*: anchors joined across documents; those of one document only drop
-   out. Least and greatest document per anchor are combined before the shuffle.
+3. *Seeds*: anchors joined across documents; those of one word sequence only drop
+   out. Two values per anchor are combined before the shuffle.
 4. *Extension*: each document extends its seeds left and right to all windows
-   that hold them, and windows meet by 128-bit key with the least document that
+   that hold them, and windows meet by a 96-bit key with the least document that
    has the same extension. A seed in very many documents is compared with that
    one document, never in pairs.
 5. Overlapping repeats are merged to maximal spans and cut out.
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.llm.hashing import covered, gram_hashes, window_minima, word_hashes
-from topicloom.storage import materialize, spread
+from topicloom.storage import Workspace, spread
 
 WINDOW = 13
 ANCHOR = 5
@@ -66,6 +66,7 @@ def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({
             "doc_id": batch.column("doc_id"), "version": batch.column("version"),
             "n_words": pa.array(counts, pa.int64()), "digest": pa.array(digests, pa.binary()),
+            "form": pa.array([int.from_bytes(d[:8], "little", signed=True) for d in digests], pa.int64()),
             "anchors": pa.array(chosen, pa.list_(pa.int64())),
         })
 
@@ -81,16 +82,17 @@ def extensions(words: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows that hold a seed of their document: two key lanes and the place."""
+    """Windows that hold a seed of their document: a key of 96 bits and the place."""
     for batch in batches:
-        for doc_id, version, text, seeds in zip(*(batch.column(c) for c in ("doc_id", "version", "text", "seeds")), strict=True):
+        for row, doc_id, text, seeds in zip(*(batch.column(c) for c in ("row", "doc_id", "text", "seeds")), strict=True):
             data = (text.as_py() or "").encode()
             words = word_hashes(data)
             starts = extensions(words, seeds.values.to_numpy().view(np.uint64))
-            one, two = (gram_hashes(w, WINDOW, lane)[starts].view(np.int64) for lane, w in enumerate((words, word_hashes(data, 1))))
+            one, two = (gram_hashes(w, WINDOW, lane)[starts] for lane, w in enumerate((words, word_hashes(data, 1))))
             yield pa.record_batch({
-                "key1": pa.array(one), "key2": pa.array(two), "doc_id": pa.array(np.full(len(starts), doc_id.as_py())),
-                "version": pa.array(np.full(len(starts), version.as_py())), "place": pa.array(starts.astype(np.int32)),
+                "key1": pa.array(one.view(np.int64)), "key2": pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                "row": pa.array(np.full(len(starts), row.as_py())), "doc_id": pa.array(np.full(len(starts), doc_id.as_py())),
+                "place": pa.array(starts.astype(np.int32)),
             })
 
 
@@ -118,25 +120,37 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ``docs`` has ``doc_id``, ``text`` and ``version``, a hash of the text.
     """
+    work = Workspace(docs.sparkSession)
     source = docs.where("doc_id is not null")
-    outline = materialize(spread(source, "version").mapInArrow(
-        _outlines, "doc_id bigint, version bigint, n_words bigint, digest binary, anchors array<bigint>"), "outlines")
-    first = outline.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    ranked = outline.where(F.col("n_words") >= WINDOW).join(first, "digest")
-    later = ranked.where("doc_id > first").select("doc_id", "version").distinct()
-    seeds = ranked.where("doc_id = first").select("doc_id", "version", F.explode("anchors").alias("anchor"))
-    seeds = seeds.select("anchor", "doc_id", "version")
-    common = (
-        seeds.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-        .where("low < high").select("anchor")
-    )
-    own = seeds.join(common, "anchor").groupBy("doc_id", "version").agg(F.collect_set("anchor").alias("seeds"))
-    windows = source.join(own, ["doc_id", "version"]).mapInArrow(
-        _windows, "key1 bigint, key2 bigint, doc_id bigint, version bigint, place int")
-    windows = materialize(windows, "windows")
-    low = windows.groupBy("key1", "key2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    found = windows.join(low.select("key1", "key2", "low"), ["key1", "key2"]).where("doc_id > low")
-    return later, found.select("doc_id", "version", "place")
+    outline = spread(source, "version").mapInArrow(
+        _outlines, "doc_id bigint, version bigint, n_words bigint, digest binary, form bigint, anchors array<bigint>")
+    outline = work.save(outline.withColumn("row", F.monotonically_increasing_id()), "outlines")
+    long = outline.where(F.col("n_words") >= WINDOW)
+    first = long.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    later = long.select("row", "doc_id", "version", "digest").join(first, "digest").where("doc_id > first")
+    later = work.save(later.select("row", "doc_id", "version"), "copies")
+    forms = outline.select(F.explode("anchors").alias("anchor"), "form")
+    common = forms.groupBy("anchor").agg(F.min("form").alias("low"), F.max("form").alias("high")).where("low < high").select("anchor")
+    seeds = outline.select(F.explode("anchors").alias("anchor"), "row").join(common, "anchor")
+    own = seeds.groupBy("row").agg(F.collect_list("anchor").alias("seeds")).join(later.select("row"), "row", "left_anti")
+    named = own.join(outline.select("row", "doc_id", "version"), "row").groupBy("doc_id", "version")
+    own = work.save(named.agg(F.min("row").alias("row"), F.first("seeds").alias("seeds")), "seeds")
+    release(work, outline)
+    windows = source.join(own, ["doc_id", "version"]).mapInArrow(_windows, "key1 bigint, key2 int, row bigint, doc_id bigint, place int")
+    windows = work.save(windows, "windows")
+    release(work)
+    low = windows.groupBy("key1", "key2").agg(F.min("doc_id").alias("low"))
+    found = windows.join(low, ["key1", "key2"]).where("doc_id > low").groupBy("row").agg(F.collect_list("place").alias("places"))
+    found = work.save(found.join(own.select("row", "doc_id", "version"), "row").select("doc_id", "version", "places"), "places")
+    release(work, windows, own)
+    return later.select("doc_id", "version").distinct(), found
+
+
+def release(work: Workspace, *tables: DataFrame) -> None:
+    """Delete tables no longer read, and let Spark's cleaner find the shuffle files of finished jobs."""
+    for table in tables:
+        work.drop(table)
+    work.spark.sparkContext._jvm.System.gc()
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -147,8 +161,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         F.struct(F.lit(0).alias("_"), *rest).alias("rest"),
     )
     later, found = repeated_windows(held.select("doc_id", "text", "version"))
-    spots = found.groupBy("doc_id", "version").agg(F.collect_list("place").alias("places"))
-    plan = spots.withColumn("whole", F.lit(False)).unionByName(
+    plan = found.withColumn("whole", F.lit(False)).unionByName(
         later.select("doc_id", "version", F.lit(None).cast("array<int>").alias("places"), F.lit(True).alias("whole"))
     )
     joined = held.join(plan, ["doc_id", "version"], "left").select("doc_id", "rest", "text", "whole", "places")
