@@ -99,6 +99,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts, gone, kept = [], [], []
+        layout = batch.column("layout")[0].as_py() if len(batch) else False
         for text, whole, places in zip(*(batch.column(c) for c in ("text", "whole", "places")), strict=True):
             words = (text.as_py() or "").encode().split()
             drop = np.zeros(len(words), bool)
@@ -108,8 +109,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 drop = covered(places.values.to_numpy().astype(np.int64), WINDOW, len(words))
             counts.append(len(words))
             gone.append(int(drop.sum()))
-            kept.append(b" ".join(w for w, d in zip(words, drop.tolist(), strict=True) if not d).decode())
-        rest = {c: batch.column(c) for c in batch.schema.names if c not in ("text", "whole", "places")}
+            if layout and not drop.any():
+                kept.append(text.as_py())
+            else:
+                kept.append(b" ".join(w for w, d in zip(words, drop.tolist(), strict=True) if not d).decode())
+        rest = {c: batch.column(c) for c in batch.schema.names if c not in ("text", "whole", "places", "layout")}
         yield pa.record_batch(rest | {
             "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_text": pa.array(kept, pa.string()),
         })
@@ -153,8 +157,12 @@ def release(work: Workspace, *tables: DataFrame) -> None:
     work.spark.sparkContext._jvm.System.gc()
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` without its ``text``, plus ``n_words``, ``n_removed`` and ``kept_text``."""
+def without_repeats(docs: DataFrame, keep_layout: bool = False) -> DataFrame:
+    """``docs`` without its ``text``, plus ``n_words``, ``n_removed`` and ``kept_text``.
+
+    ``kept_text`` has the kept words joined by one space; with ``keep_layout``
+    texts that lose no word stay as they are, white space included.
+    """
     rest = [c for c in docs.columns if c.lower() not in ("doc_id", "text")]
     held = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("version"),
@@ -164,7 +172,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     plan = found.withColumn("whole", F.lit(False)).unionByName(
         later.select("doc_id", "version", F.lit(None).cast("array<int>").alias("places"), F.lit(True).alias("whole"))
     )
-    joined = held.join(plan, ["doc_id", "version"], "left").select("doc_id", "rest", "text", "whole", "places")
+    joined = held.join(plan, ["doc_id", "version"], "left").select("doc_id", "rest", "text", "whole", "places", F.lit(keep_layout).alias("layout"))
     kinds = f"doc_id bigint, rest {held.schema['rest'].dataType.simpleString()}, n_words bigint, n_removed bigint, kept_text string"
     cut = joined.mapInArrow(_cut, kinds)
     return cut.select("doc_id", *[F.col("rest").getField(c).alias(c) for c in rest], "n_words", "n_removed", "kept_text")
