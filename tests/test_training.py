@@ -171,3 +171,43 @@ def test_empty_batch_moves_state_on(spark, planted, folder):
     before = state_of(trainer)
     trainer.process(planted.limit(0), 1)
     assert trainer.store.latest().version == 1 and state_of(trainer) == before
+
+
+def test_totals_follow_rows_on_an_unaligned_clock(spark, planted, folder):
+    cut = D.micro_batches(planted, 15)
+    trainer = StreamTrainer(spark, folder, replace(STREAM, duration=60_000), batch_time=lambda b: b * 90_000)
+    for b in range(4):
+        trainer.process(cut.where(f"batch_id = {b}").drop("batch_id"), b)
+    check = trainer.consistency().first()
+    assert check["row_sum"] == pytest.approx(check["total_sum"])
+
+
+def test_expired_batches_are_not_run_again(spark, planted, folder):
+    trainer = StreamTrainer(spark, folder, replace(STREAM, batch_iterations=1), keep_versions=1)
+    cut = D.micro_batches(planted, 15)
+    for b in range(4):
+        if b != 1:
+            trainer.process(cut.where(f"batch_id = {b}").drop("batch_id"), b)
+    state, words = state_of(trainer), rows_of(trainer.reports())
+    trainer.process(planted, 0)
+    assert state_of(trainer) == state and rows_of(trainer.reports()) == words
+    with pytest.raises(RuntimeError, match="expired"):
+        trainer.process(planted, 1)
+
+
+def test_equal_batches_draw_differently_and_leave_details(spark, planted, folder):
+    trainer = StreamTrainer(spark, folder, replace(STREAM, vocab_capacity=100), details=True)
+    for b in range(2):
+        trainer.process(planted, b)
+    topics = [rows_of(trainer.assigned().where(f"batch_id = {b}").select("doc_id", "pos", "topic")) for b in range(2)]
+    assert topics[0] != topics[1]
+    assert sorted((r.batch_id, r.prior) for r in trainer.logliks().collect()) == [(0, False), (0, True), (1, False), (1, True)]
+    sizes = {r.doc_id: r.n for r in T.token_table(planted).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert all(sum(r.n) == pytest.approx(sizes[r.doc_id]) for r in trainer.profiles().collect())
+
+
+def test_keyed_sweeps_equal_synchronous_ones(spark, planted):
+    params = replace(PARAMS, tokens_per_shard=300)
+    model = batch.fit_distributed(planted, params, sweeps=1, keyed=True)
+    start = gibbs.init_topics_uniform(T.encode_docs(T.token_table(planted), model.vocab), params)
+    assert rows_of(model.tokens) == rows_of(gibbs.gibbs_sweep_sync(start, params, 1).select(*model.tokens.columns))

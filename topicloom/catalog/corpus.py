@@ -90,8 +90,9 @@ def write_text(spark, sf):
     lines = D.micro_batches(docs(spark, sf), chunk_of(spark, sf)).select(
         "batch_id", single_line(F.col("text")).alias("line")
     )
+    lines = materialize(lines, "lines")  # the texts are read once, not once per batch
     for batch in range(BATCHES):
-        write(lines.where(F.col("batch_id") == batch), batch)
+        write(lines.where(F.col("batch_id") == batch).select("batch_id", "line"), batch)
     return spark.read.text(out).select("batch_id", F.col("value").alias("line"))
 
 
@@ -166,7 +167,7 @@ def segment_terms(spark, sf):
         " FROM tok JOIN documents USING (doc_id) GROUP BY lang, term)",
         "stops AS (SELECT DISTINCT term FROM ranked WHERE rn <= 20)",
     )
-    + "SELECT doc_id, pos, term FROM tok WHERE term NOT IN (SELECT term FROM stops)",
+    + "SELECT doc_id, pos, term FROM tok ANTI JOIN stops USING (term)",
 )
 def remove_stopwords(spark, sf):
     by_lang = T.token_table(table(spark, sf, "documents"), keep=("doc_id", "lang")).groupBy("lang", "term").count()

@@ -24,7 +24,7 @@ PAIRS = "pairs AS (SELECT doc_id, wid, count(*) AS cnt FROM enc GROUP BY doc_id,
        + f"SELECT doc_id, {cells_sql('round((docr.n{i} + 1) / dt.n{i}, 9) AS n{i}')} FROM docr CROSS JOIN dt")
 def theta(spark, sf):
     rows = materialize(C.topic_vectors(encoded(spark, sf)[1], "doc_id", K), "docs")
-    return wide(quality.theta(rows, PARAMS.alpha, K), "doc_id", digits=9)
+    return wide(quality.theta(rows, PARAMS.alpha, K, theta_norm="topic"), "doc_id", digits=9)
 
 
 @query("theta_by_document", with_sql(*ENCODED, DOC)
@@ -75,7 +75,7 @@ def _with_prior(spark, sf, prior_cells: str):
     again = gibbs.init_topics_uniform(tokens, PARAMS, 1)
     prior = materialize(quality.smoothed(C.topic_vectors(again, "wid", K), PARAMS.beta, K), "prior")
     value = quality.loglik_with_prior(
-        tokens, docs, words, prior, C.totals_list(prior, K), PARAMS.alpha, PARAMS.beta, K, prior_cells
+        tokens, docs, words, prior, C.totals_list(prior, K), PARAMS.alpha, PARAMS.beta, K, prior_cells, "topic"
     )
     return value.select(F.round("loglik", 6).alias("loglik"))
 
@@ -116,5 +116,5 @@ def loglik_heldout(spark, sf):
     freqs = materialize(T.term_frequency(talk_tokens(spark, sf)), "freqs")
     tokens = T.encode_docs(talk_tokens(spark, sf), build_vocab_sorted(freqs), freqs)
     samples = drawn(tokens, 0).withColumn("sweep", F.lit(0)).unionByName(drawn(tokens, 1).withColumn("sweep", F.lit(1)))
-    value = quality.loglik_heldout(materialize(samples, "samples"), PARAMS.alpha, PARAMS.beta, K)
+    value = quality.loglik_heldout(materialize(samples, "samples"), PARAMS.alpha, PARAMS.beta, K, "topic")
     return value.select(F.round("loglik", 3).alias("loglik"), "tokens")

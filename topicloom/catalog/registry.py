@@ -48,7 +48,7 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
 def talks(spark: SparkSession, sf: str) -> DataFrame:
     """Conversation turns as a second corpus."""
     return table(spark, sf, "conversations").select(
-        (F.col("conv_id") * 10000 + F.col("turn")).alias("doc_id"), "text"
+        (F.col("conv_id") * 4294967296 + F.col("turn")).alias("doc_id"), "text"
     )
 
 
@@ -114,7 +114,7 @@ def tokens_sql(name: str, source: str, doc_id: str) -> str:
 
 
 DOC_TOKENS = tokens_sql("tok", "documents", "doc_id")
-TALK_TOKENS = tokens_sql("talk", "conversations", "conv_id * 10000 + turn")
+TALK_TOKENS = tokens_sql("talk", "conversations", "conv_id * 4294967296 + turn")
 ITEM_TOKENS = tokens_sql("item", "benchmark", "item_id")
 
 
@@ -172,7 +172,8 @@ def draw_sql(weights: list[str], u: str) -> str:
 
 
 def with_sql(*parts: str) -> str:
-    return "WITH " + ",\n".join(parts) + "\n"
+    """A WITH clause whose parts are computed once, however often they are used."""
+    return "WITH " + ",\n".join(part.replace(" AS (", " AS MATERIALIZED (", 1) for part in parts) + "\n"
 
 
 ENCODED = (

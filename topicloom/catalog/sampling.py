@@ -140,7 +140,7 @@ def assign_topics(spark, sf):
     return C.topic_counts(scored, "doc_id")
 
 
-def _sweep_sql(source: str, word: str, doc: str, key: str, sweep: int, alpha: str, prior: str, totals: str, joins: str) -> str:
+def sweep_sql(source: str, word: str, doc: str, key: str, sweep: int, alpha: str, prior: str, totals: str, joins: str) -> str:
     """One synchronous sweep over ``source``; the prior parts are SQL patterns in {i}."""
     weights = ", ".join(
         f"(d.n{i} - {own_sql(i, 't.topic')} + {alpha.format(i=i)}) * (w.n{i} - {own_sql(i, 't.topic')} + {prior.format(i=i)})"
@@ -163,7 +163,7 @@ def _sweep_sql(source: str, word: str, doc: str, key: str, sweep: int, alpha: st
         "size AS (SELECT CAST(count(*) AS DOUBLE) AS v FROM voc)",
     )
     + "SELECT doc_id, pos, CAST(wid AS BIGINT) AS wid, topic FROM ("
-    + _sweep_sql("enc", "wr", "docr", "wid", 1, "1", "1", "s.v", "CROSS JOIN tot a CROSS JOIN size s") + ")",
+    + sweep_sql("enc", "wr", "docr", "wid", 1, "1", "1", "s.v", "CROSS JOIN tot a CROSS JOIN size s") + ")",
 )
 def gibbs_sweep_sync(spark, sf):
     return gibbs.gibbs_sweep_sync(encoded(spark, sf)[1], PARAMS, 1)
@@ -178,18 +178,18 @@ def _online_sql() -> str:
         f"o1 AS (SELECT doc_id, {sums_sql()} FROM d1 GROUP BY doc_id)",
         f"t1 AS (SELECT {sums_sql()} FROM d1)",
         "s1 AS (SELECT CAST(count(*) AS DOUBLE) AS v FROM freq)",
-        "x1 AS (" + _sweep_sql("d1", "w1", "o1", "term", 3, "1", "1", "s.v", "CROSS JOIN t1 a CROSS JOIN s1 s") + ")",
+        "x1 AS (" + sweep_sql("d1", "w1", "o1", "term", 3, "1", "1", "s.v", "CROSS JOIN t1 a CROSS JOIN s1 s") + ")",
         f"m1 AS (SELECT term, {cells_sql('n{i} + 1 AS n{i}')} FROM (SELECT term, {sums_sql()} FROM x1 GROUP BY term))",
         f"al1 AS (SELECT {cells_sql('n{i} + 1 AS n{i}')} FROM (SELECT {sums_sql()} FROM x1))",
         f"mt1 AS (SELECT {cells_sql('sum(n{i}) AS n{i}')} FROM m1)",
         f"d2 AS ({_prior_draw_sql('talk', 'm1', 'mt1', 'al1', 4)})",
         f"local AS (SELECT term, {cells_sql('n{i}')} FROM m1 UNION ALL SELECT term,"
-        f" {cells_sql('CAST(1 AS DOUBLE) AS n{i}')} FROM tfreq WHERE term NOT IN (SELECT term FROM m1))",
+        f" {cells_sql('CAST(1 AS DOUBLE) AS n{i}')} FROM tfreq ANTI JOIN m1 USING (term))",
         f"lt AS (SELECT {cells_sql('sum(n{i}) AS n{i}')} FROM local)",
         f"w2 AS (SELECT term, {sums_sql()} FROM d2 GROUP BY term)",
         f"o2 AS (SELECT doc_id, {sums_sql()} FROM d2 GROUP BY doc_id)",
         f"t2 AS (SELECT {sums_sql()} FROM d2)",
-        "x2 AS (" + _sweep_sql(
+        "x2 AS (" + sweep_sql(
             "d2", "w2", "o2", "term", 5, "al.n{i}", "p.n{i}", "lt.n{i}",
             "JOIN local p ON p.term = t.term CROSS JOIN t2 a CROSS JOIN lt CROSS JOIN al1 al",
         ) + ")",

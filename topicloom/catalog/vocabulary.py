@@ -17,7 +17,7 @@ SEED = (
     DOC_TOKENS, TALK_TOKENS, ITEM_TOKENS, freq_sql("freq", "tok"), freq_sql("ifreq", "item"),
     "seed AS (SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS BIGINT) AS wid, last_seen,"
     " CAST(CASE WHEN term IN (SELECT term FROM ifreq) THEN 1 ELSE 0 END AS BIGINT) AS use_count"
-    " FROM (SELECT term, CAST(max(doc_id % 10000) AS BIGINT) AS last_seen FROM talk GROUP BY term))",
+    " FROM (SELECT term, CAST(max(doc_id % 4294967296) AS BIGINT) AS last_seen FROM talk GROUP BY term))",
 )
 NEW = (
     "fresh AS (SELECT term, freq, row_number() OVER (ORDER BY freq DESC, term) AS rn FROM freq"
@@ -26,7 +26,7 @@ NEW = (
 
 
 def seed(spark, sf):
-    last = talk_tokens(spark, sf).groupBy("term").agg(F.max(F.col("doc_id") % 10000).cast("bigint").alias("last_seen"))
+    last = talk_tokens(spark, sf).groupBy("term").agg(F.max(F.col("doc_id") % 4294967296).cast("bigint").alias("last_seen"))
     pinned = item_tokens(spark, sf).select("term").distinct().withColumn("pin", F.lit(1))
     rows = with_global_rank(last, [F.asc("term")], "wid", start=0).join(pinned, "term", "left")
     return materialize(
@@ -150,7 +150,8 @@ def vocab_update_batch(spark, sf):
     return state
 
 
-@query("vocab_reset", "SELECT count(*) AS docs, CAST(0 AS BIGINT) AS terms FROM documents")
+@query("vocab_reset", with_sql(DOC_TOKENS)
+       + "SELECT count(DISTINCT doc_id) AS docs, count(DISTINCT term) AS before, CAST(0 AS BIGINT) AS terms FROM tok")
 def vocab_reset(spark, sf):
     """A trainer that has seen the documents' terms forgets them all."""
     from topicloom.storage import Workspace
@@ -159,8 +160,9 @@ def vocab_reset(spark, sf):
     docs = doc_tokens(spark, sf).groupBy("doc_id").count().agg(F.count(F.lit(1)).alias("docs"))
     store = StateStore(spark, Workspace(spark).new_path("state"), 1)
     freqs = materialize(T.term_frequency(doc_tokens(spark, sf)), "freqs")
-    store.write_table(0, "vocab", Vb.vocab_add(Vb.empty_vocab(spark), freqs, 0, 1_000_000, 0).vocab)
+    store.write_table(0, "vocab", Vb.vocab_add(Vb.empty_vocab(spark), freqs, 0, freqs.count(), 0).vocab)
     store.write_table(0, "rows", store.empty().rows)
     store.commit(0, 0, 0, [0.0])
+    before = store.latest().vocab.where("wid >= 0").count()
     store.reset()
-    return docs.withColumn("terms", F.lit(store.latest().vocab.count()).cast("bigint"))
+    return docs.withColumn("before", F.lit(before).cast("bigint")).withColumn("terms", F.lit(store.latest().vocab.count()).cast("bigint"))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions import vectors as V
+from topicloom.functions.sampling import keyed_uniform
 from topicloom.operators.skew import hot_keys, keyed_join
 from topicloom.params import TopicParams
 
@@ -95,13 +96,13 @@ def _flat(column: pa.ChunkedArray):
     return array.flatten().to_numpy(zero_copy_only=False), np.diff(array.offsets.to_numpy())
 
 
-def _sweep(word, doc, topic, a, b, t, rng, block):
+def _sweep(word, doc, topic, a, b, t, rng, block, uniforms=None):
     """Resample every token once, in order, ``block`` tokens at a time.
 
     ``a`` documents x K, ``b`` words x K and ``t`` K are the smoothed counts,
     updated in place. Within a block each token sees the counts as they were at
     the block's start, less itself; a block of one token is the plain
-    sequential sampler.
+    sequential sampler. Given ``uniforms`` take the place of random numbers.
     """
     k = len(t)
     drawn = topic.copy()
@@ -117,7 +118,7 @@ def _sweep(word, doc, topic, a, b, t, rng, block):
         own = np.arange(stop - start) * k + z
         weight.reshape(-1)[own] = (flat_a[at_d + z] - 1.0) * (flat_b[at_w + z] - 1.0) / (t[z] - 1.0)
         np.cumsum(weight, axis=1, out=weight)
-        mark = rng.random(stop - start) * weight[:, -1]
+        mark = (rng.random(stop - start) if uniforms is None else uniforms[start:stop]) * weight[:, -1]
         new = np.minimum((weight <= mark[:, None]).sum(axis=1), k - 1).astype(topic.dtype)
         moved = np.flatnonzero(new != z)
         x, y, at_w, at_d = z[moved], new[moved], at_w[moved], at_d[moved]
@@ -158,10 +159,14 @@ def _shard_kernel(params: TopicParams, totals: list[float], fill: float, own: bo
             np.add.at(b, (word, topic), 1.0)
             t += np.bincount(topic, minlength=k)
 
+        uniforms = None
+        if "u" in segments.column_names:
+            uniforms = _flat(segments["u"])[0]
+            segments = segments.drop_columns(["u"])
         samples = []
         for sweep in range(first, first + sweeps):
             rng = np.random.Generator(np.random.Philox(key=[seed, (int(key[0].as_py()) << 20) + sweep]))
-            topic = _sweep(word, doc, topic, a, b, t, rng, block)
+            topic = _sweep(word, doc, topic, a, b, t, rng, block if uniforms is None else len(topic), uniforms)
             if sweep >= first + sweeps - kept and kept > 1:
                 samples.append(topic)
         out = segments.set_column(segments.schema.get_field_index("topic"), "topic", _lists(topic, lengths))
@@ -178,7 +183,7 @@ def _shard_kernel(params: TopicParams, totals: list[float], fill: float, own: bo
 
 def sweep_shards(
     packed: DataFrame, model_rows: DataFrame, totals: list[float], params: TopicParams,
-    fill: float = 0.0, own_counts: bool = False, sweeps: int = 1, kept: int = 1, first: int = 1,
+    fill: float = 0.0, own_counts: bool = False, sweeps: int = 1, kept: int = 1, first: int = 1, keyed: bool = False,
 ) -> DataFrame:
     """Run ``sweeps`` sweeps in every shard from one snapshot of the model.
 
@@ -186,8 +191,13 @@ def sweep_shards(
     pulled rows plus ``fill``; with ``own_counts`` the shard's own counts are
     added to rows and totals (for a model that does not yet contain them).
     Returns the packed rows with the last topics and, for ``kept`` > 1, the
-    column ``samples``: one array of topics per kept sweep, oldest first.
+    column ``samples``: one array of topics per kept sweep, oldest first. With
+    ``keyed`` a sweep draws all tokens from one state of the counts by uniforms
+    keyed by (seed, document, position, sweep), the way of ``gibbs_sweep_sync``.
     """
+    if keyed:
+        uniform = F.transform("pos", lambda p: keyed_uniform(params.seed, F.col("doc_id"), p, first))
+        packed = packed.withColumn("u", uniform)
     kept = min(kept, sweeps)
     kernel = _shard_kernel(params, totals, fill, own_counts, sweeps, kept, first)
     schema = PACKED + (", samples array<array<int>>" if kept > 1 else "")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 SHARE = 1024
 MIN_ROWS = 1_000_000
 BROADCAST_ROWS = 10_000
+HASH_BYTES = 64 << 20
 
 
 def hot_keys(
@@ -50,7 +51,7 @@ def keyed_join(
     exactly one copy of its right row.
     """
     if hot is None:
-        return left.join(right.hint("shuffle_hash"), key, how)
+        return left.join(_hashed(right), key, how)
     salt = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_salts")), F.lit(0)).cast("int")
     salted = left.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_salts")
     copies = (
@@ -58,7 +59,15 @@ def keyed_join(
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
         .drop("_salts")
     )
-    return salted.join(copies.hint("shuffle_hash"), [key, "_salt"], how).drop("_salt")
+    return salted.join(_hashed(copies), [key, "_salt"], how).drop("_salt")
+
+
+def _hashed(right: DataFrame) -> DataFrame:
+    """``right`` hinted as the hashed side while a partition's share of it fits easily in memory."""
+    spark = right.sparkSession
+    size = int(str(right._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return right.hint("shuffle_hash") if size <= partitions * HASH_BYTES else right
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:

@@ -99,14 +99,14 @@ def segment_corpus(docs: DataFrame, segment: Segmenter, stops: DataFrame, text:
 
     A stop list of at most ``IN_ROW_STOPS`` terms is checked inside each document
     row, so no token is shuffled; a longer one goes through the token join.
-    Documents left without terms stay, empty.
+    Documents left without terms, and those without a text, stay, empty.
     """
     listed = stops.select("term").distinct()
     terms = spread(docs.select("doc_id", text), "doc_id").select("doc_id", segment(single_line(F.col(text))).alias("terms"))
     if fits_broadcast(listed, IN_ROW_STOPS):
         words = listed.agg(F.collect_set("term")).scalar()
         kept = F.filter("terms", lambda term: ~F.array_contains(F.col("_stops"), term))
-        return terms.withColumn("_stops", words).select("doc_id", F.array_join(kept, " ").alias("line"))
+        return terms.withColumn("_stops", words).select("doc_id", F.coalesce(F.array_join(kept, " "), F.lit("")).alias("line"))
     tokens = terms.select("doc_id", F.posexplode("terms").alias("pos", "term"))
     left = remove_stopwords(tokens, listed).withColumn("topic", F.lit(0))
     lines = collect_docs(left).select("doc_id", F.array_join(F.transform("tokens", lambda t: t["term"]), " ").alias("line"))

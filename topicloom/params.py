@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
@@ -12,6 +12,13 @@ class TopicParams:
     ``vocab_capacity`` bounds the ageing dictionary, ``rate`` is both the weight
     of a new batch and the decay per elapsed batch, ``duration`` is the length
     of one batch in the unit of the batch time.
+
+    Ours: a shard sweeps ``sweeps_per_sync`` times between two exchanges of word
+    counts (1 exchanges after every sweep; corpora with documents longer than
+    ``segment_tokens`` always do), and ``block_tokens`` tokens are drawn from one
+    state of the counts (1 is the plain sequential sampler). A document longer
+    than ``segment_tokens`` is swept in segments, each with the others' counts as
+    of the last exchange.
     """
 
     # Defaults of the reference's option objects.
@@ -32,12 +39,13 @@ class TopicParams:
     tokens_per_shard: int = 200_000
     segment_tokens: int = 65_536
     block_tokens: int = 2_048
+    sweeps_per_sync: int = 10
 
     def __post_init__(self) -> None:
         positive = (
             "num_topics", "batch_iterations", "iterations", "vocab_capacity", "duration",
             "chunk_size", "kept_samples", "top_words", "tokens_per_shard",
-            "segment_tokens", "block_tokens",
+            "segment_tokens", "block_tokens", "sweeps_per_sync",
         )
         for name in positive:
             if getattr(self, name) < 1:
@@ -46,3 +54,7 @@ class TopicParams:
             raise ValueError("alpha and beta must not be negative")
         if not 0.0 <= self.rate <= 1.0:
             raise ValueError(f"rate must lie in [0, 1], got {self.rate}")
+
+    def reseeded(self, stream: int) -> TopicParams:
+        """The same settings with the seed of an independent stream of draws; 0 keeps the seed."""
+        return replace(self, seed=(self.seed + 0x9E3779B1 * stream) % 2**31)

@@ -15,7 +15,7 @@ from topicloom.storage import Workspace
 
 
 @dataclass
-class TopicModel:
+class FittedTopics:
     """A fitted model: vocabulary (term, wid), rows (wid, n), totals (K numbers),
     and the final assignment (doc_id, pos, wid, topic)."""
 
@@ -37,15 +37,17 @@ class TopicModel:
 
 def fit_distributed(
     docs: DataFrame, params: TopicParams, segment=T.whitespace_terms, sweeps: int | None = None,
-    shard_number: int | None = None, on_report: Callable[[int, TopicModel], None] | None = None,
-    report_every: int = 10,
-) -> TopicModel:
+    shard_number: int | None = None, on_report: Callable[[int, FittedTopics], None] | None = None,
+    report_every: int = 10, keyed: bool = False,
+) -> FittedTopics:
     """Approximate distributed Gibbs sampling.
 
     Per sweep every shard pulls the rows of its words, sweeps its documents in
-    order against its own copy, and the new counts are one aggregation. Each
-    sweep ends in a saved table, so neither plans nor recovery grow with the
-    number of sweeps.
+    order against its own copy, ``sweeps_per_sync`` times over, and the new counts
+    are one aggregation. Each exchange ends in a saved table, so neither plans nor
+    recovery grow with the number of sweeps. A model handed to ``on_report`` is
+    valid during the call. ``keyed`` makes every sweep a synchronous one with
+    uniforms keyed by token, which SQL can repeat.
     """
     spark = docs.sparkSession
     work = Workspace(spark)
@@ -64,13 +66,18 @@ def fit_distributed(
     rows = work.save(shards.packed_counts(packed, k), "rows")
     totals = C.totals_list(rows, k)
 
-    def model() -> TopicModel:
-        return TopicModel(params, vocab, rows, totals, shards.unpack_tokens(packed), vocab_size)
+    def model() -> FittedTopics:
+        return FittedTopics(params, vocab, rows, totals, shards.unpack_tokens(packed), vocab_size)
 
-    for sweep in range(1, sweeps + 1):
+    sweep = 0
+    while sweep < sweeps:
+        rounds = min(1 if several or keyed else params.sweeps_per_sync, sweeps - sweep)
+        if on_report:
+            rounds = min(rounds, report_every - sweep % report_every)
         smooth = [value + vocab_size * params.beta for value in totals]
         source = shards.refresh_base(packed, params) if several else packed
-        swept = shards.sweep_shards(source, rows, smooth, params, fill=float(params.beta), first=sweep)
+        swept = shards.sweep_shards(source, rows, smooth, params, fill=float(params.beta), sweeps=rounds, first=sweep + 1, keyed=keyed)
+        sweep += rounds
         old = (packed, rows)
         packed = work.save(swept, f"sweep{sweep}")
         rows = work.save(shards.packed_counts(packed, k), f"rows{sweep}")
@@ -85,12 +92,12 @@ def fit_distributed(
 def fit_batch(
     docs: DataFrame, params: TopicParams, test: DataFrame | None = None, sweeps: int | None = None,
     report_every: int = 10, segment=T.whitespace_terms,
-) -> tuple[TopicModel, list[dict]]:
+) -> tuple[FittedTopics, list[dict]]:
     """Batch training with a report every ``report_every`` sweeps: top words,
     topic totals and, given test documents, their held-out log-likelihood."""
     reports: list[dict] = []
 
-    def report(sweep: int, model: TopicModel) -> None:
+    def report(sweep: int, model: FittedTopics) -> None:
         entry = {"sweep": sweep, "top_words": model.top_words(10).collect(), "totals": list(model.totals)}
         if test is not None:
             entry["loglik"] = heldout_loglik(test, model, segment=segment).first()["loglik"]
@@ -100,12 +107,12 @@ def fit_batch(
     return model, reports
 
 
-def heldout_samples(test: DataFrame, model: TopicModel, samples: int = 2, segment=T.whitespace_terms) -> DataFrame:
+def heldout_samples(test: DataFrame, model: FittedTopics, samples: int = 2, segment=T.whitespace_terms) -> DataFrame:
     """Assignments of the test tokens in the last ``samples`` of 2 x ``samples`` sweeps.
 
     Unseen terms are added to the vocabulary; counts start from the model's own.
     """
-    params, k = model.params, model.params.num_topics
+    params, k = model.params.reseeded(-1), model.params.num_topics
     work = Workspace(test.sparkSession)
     raw = T.token_table(test, segment)
     freqs = work.save(T.term_frequency(raw), "test-freqs")
@@ -138,21 +145,23 @@ def heldout_samples(test: DataFrame, model: TopicModel, samples: int = 2, segmen
     return merged
 
 
-def heldout_loglik(test: DataFrame, model: TopicModel, samples: int = 2, segment=T.whitespace_terms) -> DataFrame:
+def heldout_loglik(test: DataFrame, model: FittedTopics, samples: int = 2, segment=T.whitespace_terms) -> DataFrame:
     drawn = heldout_samples(test, model, samples, segment)
     return quality.loglik_heldout(drawn, model.params.alpha, model.params.beta, model.params.num_topics)
 
 
 def infer_batch(
     tokens: DataFrame, prior_rows: DataFrame, prior_totals: list[float], params: TopicParams,
-    shard_number: int, work: Workspace,
+    shard_number: int, work: Workspace, stream: int = 0,
 ) -> DataFrame:
     """Inner loop of the streaming trainer: uniform start, ``batch_iterations``
     sweeps per shard against one prior snapshot; packed rows with the last
     ``kept_samples`` sweeps as samples.
 
-    ``prior_rows`` already hold beta; every shard adds its own counts.
+    ``prior_rows`` already hold beta; every shard adds its own counts. ``stream``
+    tells batches apart, so equal documents in two batches draw differently.
     """
+    params = params.reseeded(stream)
     started = gibbs.init_topics_uniform(tokens, params)
     packed = work.save(shards.pack_segments(started, params, shard_number), "packed")
     if packed.where("seg > 0").limit(1).count() > 0:

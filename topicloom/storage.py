@@ -8,6 +8,7 @@ dense ids depend on.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from contextvars import ContextVar
@@ -16,12 +17,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The session's checkpoint folder; only a local session may fall back to /tmp."""
+    """The folder set by ``setCheckpointDir``, or else the session's setting.
+
+    Spark makes a folder of its own below the setting, which is no explicit
+    choice. Only a session inside one process may fall back to /tmp.
+    """
     context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    plain = lambda path: re.sub("^file:/+", "/", path or "").rstrip("/")
+    configured, chosen = spark.conf.get("spark.checkpoint.dir", None), context.getCheckpointDir()
+    if chosen and not (configured and plain(chosen).startswith(plain(configured))):
+        return chosen.rstrip("/")
     if configured:
         return configured.rstrip("/")
-    if not context.master.startswith("local"):
+    if not re.match(r"local($|\[)", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     root = tempfile.mkdtemp(prefix="topicloom-")
     context.setCheckpointDir(root)
