@@ -11,38 +11,36 @@ from topicloom.storage import Workspace, materialize
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``edges (a, b)``: the least node reachable.
 
-    Large-star and small-star steps take turns until the edges stay the same, a
-    number of rounds that grows with the logarithm of the longest path. Every
+    Large-star and small-star steps take turns until the edges are stars around
+    their least nodes, a number of rounds that grows with the logarithm of the longest path. Every
     round is one saved table; minima are combined before the shuffle, so a node
     with very many neighbours is no burden. Null ends and loops are ignored.
     """
     work = Workspace(edges.sparkSession)
     one = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
     current = work.save(one.where("a is not null and b is not null and a <> b").distinct(), "edges")
-    state = _state(current)
-    while state[0]:
+    while not _is_star(current):
         both = current.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(
             current.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = (
-            large.join(least, "hi")
-            .select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
-            .select("e.hi", "e.lo").where("hi <> lo").distinct()
-        )
+        pairs = F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))
+        small = large.join(least, "hi").select(F.explode(pairs).alias("e")).select("e.hi", "e.lo").where("hi <> lo").distinct()
         following = work.save(small, "round")
         work.drop(current)
-        current, before, state = following, state, _state(following)
-        if state == before:
-            break
+        current = following
     roots = current.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     return current.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(roots)
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
+def _is_star(edges: DataFrame) -> bool:
+    """Whether every greater end has one lesser end, and that is no greater end itself."""
+    ends = edges.select(F.col("hi").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select(F.col("lo").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 and up > 0").isEmpty()
 
 
 def running_total(df: DataFrame, group: str, order: list[str], value: str, name: str) -> DataFrame:
