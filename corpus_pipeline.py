@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.llm import fertility, minhash, mixing, packing, substrings
+from topicloom.llm.registry import known_to_workers
 from topicloom.storage import Workspace
 
 #: Tokenizers cannot be expressed in SQL; the tests hold the pipeline against a brute-force version.
@@ -57,6 +58,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
+    known_to_workers(spark)
     work = Workspace(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     *before, (_, last) = STAGES
