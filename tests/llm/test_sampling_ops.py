@@ -89,15 +89,15 @@ def test_resampling(spark):
 @pytest.fixture(scope="module")
 def toxic_rows():
     rng = random.Random(8)
-    plain = ["the", "stone", "idea", "mason", "order", "castle", "paper", "lot", "dinner", "person", "radio", "period", "studio"]
+    plain = ["a", "the", "stone", "idea", "mason", "order", "castle", "paper", "lot", "dinner", "person", "radio", "period", "studio"]
     rude = ["moron", "idiot", "stupid"]
     rows, labels = [], []
     for i in range(400):
         w = [rng.choice(plain) for _ in range(40)]
         toxic = i % 4 == 0
         if toxic:
-            for r in rude:
-                w[rng.randrange(40)] = r
+            for at, r in zip(rng.sample(range(40), 3), rude, strict=True):
+                w[at] = r
         rows.append((i, " ".join(w), toxic))
         labels.append((i, int(toxic)))
     return rows, labels

@@ -196,7 +196,7 @@ def formatted(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
     sizes = rows.groupBy("conv").agg(F.count("*").alias("turns"))
     final = finals.select("conv", "last").join(sizes, "conv").select(
         "conv", (F.col("turns") - 1).alias("place"), (F.col("last") == SYSTEM).alias("tail"), F.lit(True).alias("ends"))
-    joined = rows.join(fixed, ["conv", "place"]).join(final, ["conv", "place"], "left")
+    joined = rows.join(fixed.hint("merge"), ["conv", "place"]).join(final, ["conv", "place"], "left")
     close, opening = F.lit("<|end|>\n"), lambda role: F.concat(F.lit("<|"), role, F.lit("|>\n"))
     cost = F.when(F.col("action") == "keep", 0).when(F.col("action") == "relabel", RELABEL).otherwise(
         MERGE + F.when(F.col("new_role").eqNullSafe(F.col("role")), 0).otherwise(RELABEL))
