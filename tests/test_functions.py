@@ -126,3 +126,13 @@ def test_backfill_equals_replay(spark):
     assert stepwise.keys() == at_once.keys()
     for wid in at_once:
         assert at_once[wid] == pytest.approx(stepwise[wid])
+
+
+def test_count_vectors_of_many_topics_equal_the_unrolled_form(spark, monkeypatch):
+    rows = [(d, (d * 7 + i * i) % 9, 0.5 * i) for d in range(6) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, topic int, w double")
+    for weight in (None, F.col("w")):
+        unrolled = V.count_vectors(df, ["doc_id"], 10, weight).orderBy("doc_id").collect()
+        with monkeypatch.context() as patch:
+            patch.setattr(V, "UNROLL", 4)
+            assert V.count_vectors(df, ["doc_id"], 10, weight).orderBy("doc_id").collect() == unrolled

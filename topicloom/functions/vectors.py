@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNROLL = 32
@@ -75,3 +75,17 @@ def count_topics(topic: Column, k: int, weight: Column | None = None) -> Column:
     """Aggregate: rows of a group per topic, as a zero-filled vector."""
     one = F.lit(1.0) if weight is None else weight.cast("double")
     return F.array(*[F.sum(F.when(topic == i, one).otherwise(0.0)) for i in range(k)])
+
+
+def count_vectors(df: DataFrame, keys: list[str], k: int, weight: Column | None = None, name: str = "n") -> DataFrame:
+    """(keys, name): rows (or their weights) of a group per value of ``topic``, zero-filled.
+
+    Up to ``UNROLL`` topics in one aggregation of K sums; beyond that counted by
+    (keys, topic), which costs the same for any K, and one vector is filled per group.
+    """
+    if k <= UNROLL:
+        return df.groupBy(*keys).agg(count_topics(F.col("topic"), k, weight).alias(name))
+    one = F.lit(1.0) if weight is None else weight.cast("double")
+    cells = df.groupBy(*keys, "topic").agg(F.sum(one).alias("_cell"))
+    found = cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("topic", "_cell"))).alias("_cells"))
+    return found.select(*keys, from_cells(lambda i: F.coalesce(F.col("_cells")[i], F.lit(0.0)), k).alias(name))

@@ -15,7 +15,7 @@ def topic_counts(tokens: DataFrame, key: str) -> DataFrame:
 
 def topic_vectors(tokens: DataFrame, key: str, k: int, weight: Column | None = None) -> DataFrame:
     """(key, n): the same counts as a zero-filled vector."""
-    return tokens.groupBy(key).agg(V.count_topics(F.col("topic"), k, weight).alias("n"))
+    return V.count_vectors(tokens, [key], k, weight)
 
 
 def vector_cells(rows: DataFrame, key: str, value: str = "n") -> DataFrame:

@@ -53,7 +53,7 @@ def refresh_base(packed: DataFrame, params: TopicParams) -> DataFrame:
     """Recompute ``base`` for documents of several segments."""
     k = params.num_topics
     own = packed.select("doc_id", "seg", F.explode("topic").alias("topic"))
-    per_segment = own.groupBy("doc_id", "seg").agg(V.count_topics(F.col("topic"), k).alias("_own"))
+    per_segment = V.count_vectors(own, ["doc_id", "seg"], k, name="_own")
     long_docs = per_segment.where("seg > 0").select("doc_id").distinct()
     per_segment = per_segment.join(long_docs, "doc_id", "left_semi")
     whole = per_segment.groupBy("doc_id").agg(V.sum_cells(F.col("_own"), k).alias("_doc"))
@@ -74,7 +74,7 @@ def unpack_tokens(packed: DataFrame, *extra: str) -> DataFrame:
 def packed_counts(packed: DataFrame, k: int, weight: Column | None = None) -> DataFrame:
     """(wid, n) over packed rows. The exploded pairs are combined before the shuffle."""
     pairs = packed.select(F.explode(F.arrays_zip("wid", "topic")).alias("t")).select("t.wid", "t.topic")
-    return pairs.groupBy("wid").agg(V.count_topics(F.col("topic"), k, weight).alias("n"))
+    return V.count_vectors(pairs, ["wid"], k, weight)
 
 
 def shard_words(packed: DataFrame) -> DataFrame:
@@ -211,7 +211,7 @@ def sample_counts(swept: DataFrame, k: int) -> DataFrame:
         return packed_counts(swept, k)
     kept = swept.select("wid", F.size("samples").alias("_s"), F.explode("samples").alias("topic"))
     pairs = kept.select("_s", F.explode(F.arrays_zip("wid", "topic")).alias("t")).select("t.wid", "t.topic", "_s")
-    return pairs.groupBy("wid").agg(V.count_topics(F.col("topic"), k, F.lit(1.0) / F.col("_s")).alias("n"))
+    return V.count_vectors(pairs, ["wid"], k, F.lit(1.0) / F.col("_s"))
 
 
 def sample_tokens(swept: DataFrame, last: int) -> DataFrame:
