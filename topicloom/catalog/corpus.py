@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from topicloom.catalog.registry import (
     BATCHES, CHUNK, DOC_TOKENS, TALK_TOKENS, chunk_of, doc_tokens, docs, drawn_sql, freq_sql, query,
-    table, talk_tokens, vocab_sql, with_sql, PARAMS, K,
+    table, talk_tokens, talks, vocab_sql, with_sql, PARAMS, K,
 )
 from topicloom.functions.sampling import keyed_uniform
 from topicloom.functions.text import json_terms, letter_terms, single_line, whitespace_terms
@@ -21,17 +21,26 @@ NEWLINES = "translate(text, chr(10) || chr(13), '  ')"
 LETTERS = r"list_filter(string_split_regex(lower({text}), '[^\p{L}]+'), lambda x: x <> '')"
 
 
-@query("read_text_docs", "SELECT doc_id, text FROM documents")
+@query("read_text_docs", f"SELECT {NEWLINES} AS text FROM documents")
 def read_text_docs(spark, sf):
+    """The documents written as text files, one line each, and read by the text reader."""
+    path = Workspace(spark).new_path("text")
+    docs(spark, sf).select(single_line(F.col("text"))).write.text(path)
+    return D.read_text_docs(spark, path).select("text")
+
+
+@query("read_parquet_docs", "SELECT doc_id, text FROM documents")
+def read_parquet_docs(spark, sf):
     return D.read_parquet_docs(spark, f"{sf}/documents.parquet")
 
 
 @query("read_json_docs", "SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents")
 def read_json_docs(spark, sf):
-    lines = table(spark, sf, "documents").select(
-        F.to_json(F.struct(F.col("doc_id").alias("id"), F.col("text").alias("c"), "lang")).alias("value")
-    )
-    return D.parse_json_docs(lines)
+    """The documents written as JSON lines and read by the JSON reader."""
+    path = Workspace(spark).new_path("json")
+    lines = table(spark, sf, "documents").select(F.to_json(F.struct(F.col("doc_id").alias("id"), F.col("text").alias("c"), "lang")))
+    lines.write.text(path)
+    return D.read_json_docs(spark, path)
 
 
 @query("read_json_events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -199,13 +208,10 @@ def formatter_plugin(spark, sf):
     return T.token_table(lines, json_terms(letter_terms), text="line")
 
 
-@query("reader_plugin", "SELECT doc_id, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars FROM"
-       " (SELECT conv_id AS doc_id, text FROM conversations) GROUP BY doc_id")
+@query("reader_plugin", with_sql(TALK_TOKENS) + "SELECT doc_id, pos, term FROM talk")
 def reader_plugin(spark, sf):
-    """Any callable giving (doc_id, text) is a reader."""
+    """Any callable giving (doc_id, text) is a reader; here every conversation turn is a document."""
     def reader(session):
-        return D.read_parquet_docs(session, f"{sf}/conversations.parquet", doc_id="conv_id")
+        return talks(session, sf)
 
-    return reader(spark).groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("turns"), F.sum(F.length("text")).cast("bigint").alias("chars")
-    )
+    return T.token_table(reader(spark))

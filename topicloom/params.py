@@ -30,7 +30,6 @@ class TopicParams:
     iterations: int = 100
     vocab_capacity: int = 1_000_000
     duration: int = 60_000
-    chunk_size: int = 10_000
     kept_samples: int = 5
     top_words: int = 20
 
@@ -44,7 +43,7 @@ class TopicParams:
     def __post_init__(self) -> None:
         positive = (
             "num_topics", "batch_iterations", "iterations", "vocab_capacity", "duration",
-            "chunk_size", "kept_samples", "top_words", "tokens_per_shard",
+            "kept_samples", "top_words", "tokens_per_shard",
             "segment_tokens", "block_tokens", "sweeps_per_sync",
         )
         for name in positive:
