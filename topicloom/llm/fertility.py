@@ -1,8 +1,8 @@
 """Quality rules: text statistics and tokeniser fertility.
 
 Base rules look at the words alone. The fertility rule measures how a public
-vocabulary takes a text: characters per token, share of byte-fallback tokens,
-and entropy of the tokens in bits. Bands of these three are drawn per language
+byte-level vocabulary takes a text: word characters per token, share of tokens
+that fall back to parts of a character, and entropy of the tokens in bits. Bands of these three are drawn per language
 (per script where a row names no language) from all documents that pass the
 base rules: the quartiles, widened by ``SPREAD`` interquartile ranges and at
 least by ``LEAST``. A document outside a band is rejected. Quartiles are merged
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.llm.hashing import covered, gram_hashes, word_hashes
-from topicloom.llm.tokens import piece_tokens
+from topicloom.llm.tokens import byte_tokens
 from topicloom.storage import materialize, spread
 
 SYMBOLS = b"#*$%&|<>"
@@ -71,7 +71,7 @@ def token_entropy(ids: np.ndarray) -> float:
 
 def _measures(folder: str | None):
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = piece_tokens(folder)
+        tokens = byte_tokens(folder)
         for batch in batches:
             rows = []
             for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist(), strict=True):
@@ -85,8 +85,8 @@ def _measures(folder: str | None):
                 failed = len(words) < MIN_WORDS or 100 * repeats > REPEAT_PERCENT * len(words)
                 figures = (None, None, None)
                 if not failed:
-                    ids = tokens.ids(words)
-                    figures = (chars / len(ids), float(tokens.is_byte[ids].mean()), token_entropy(ids))
+                    ids = tokens.ids(text)
+                    figures = (chars / len(ids), float(tokens.is_part[ids].mean()), token_entropy(ids))
                 group = f"lang {lang}" if lang is not None else f"script {script_of(text)}"
                 rows.append((len(words), chars, symbols, len(lines) - len(set(lines)), repeats, failed, group, *figures))
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.string()] + [pa.float64()] * 3

@@ -47,11 +47,11 @@ def cuts(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
 def _pieces(folder: str | None, keep_ids: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = byte_tokens(folder)
-        end = np.array([END], "<u4").tobytes()
+        end = np.array([END], "<u4")
         for batch in batches:
             rows, ids = [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                data = tokens.ids(text.as_py() or "") + end
+                data = np.concatenate([tokens.ids(text.as_py() or ""), end]).tobytes()
                 for number, (start, length) in enumerate(cuts(len(data) // 4)):
                     part = data[4 * start : 4 * (start + length)]
                     rows.append((doc_id, number, start, length, zlib.crc32(part)))

@@ -1,4 +1,4 @@
-"""Public tokenizers inside tasks: each worker loads its file once and remembers words it has seen.
+"""Public tokenizers inside tasks: each worker loads its files once.
 
 The files' folder is a parameter; None means the installed ``public_tokenizers``.
 """
@@ -7,12 +7,9 @@ from __future__ import annotations
 
 import base64
 import os
-import re
 
 import numpy as np
 
-_REMEMBERED = 300_000
-_BROKEN_SPACES = re.compile(r" \s|\s ")
 _loaded: dict[tuple, object] = {}
 
 
@@ -25,12 +22,10 @@ def vocabulary_path(name: str, folder: str | None = None) -> str:
 
 
 class ByteTokens:
-    """Ids of the byte-level vocabulary of 50 k pieces, as little-endian unsigned 32-bit bytes.
+    """Ids of the byte-level vocabulary of 50 k pieces.
 
-    Text whose spaces all stand alone falls apart before each space, since no
-    piece spans one; such chunks are encoded once and remembered. Any other text
-    is encoded whole, and one that holds a special token's string by the
-    library that knows special tokens.
+    Its ranks are read by the faster of the two libraries that know it; a text that
+    holds a special token's string goes to the one that knows special tokens.
     """
 
     def __init__(self, folder: str | None = None) -> None:
@@ -42,59 +37,24 @@ class ByteTokens:
             ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
         self._plain = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._special = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json", folder))
-        self._known: dict[str, bytes] = {}
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self._plain.encode_ordinary(text), "<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
+        self.is_part = np.zeros(max(ranks.values()) + 2, bool)  # pieces that are no whole characters
+        for piece, rank in ranks.items():
+            try:
+                piece.decode()
+            except UnicodeDecodeError:
+                self.is_part[rank] = True
+
+    def ids(self, text: str) -> np.ndarray:
+        """Ids as unsigned 32-bit numbers."""
         if "<|" in text:
-            return np.array(self._special.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if _BROKEN_SPACES.search(text):
-            return self._encode(text)
-        first, *rest = text.split(" ")
-        known = self._known
-        if len(known) > _REMEMBERED:
-            known.clear()
-        parts = [self._encode(first)]
-        for chunk in rest:
-            ids = known.get(chunk)
-            if ids is None:
-                ids = known[chunk] = self._encode(" " + chunk)
-            parts.append(ids)
-        return b"".join(parts)
-
-
-class PieceTokens:
-    """Ids of the vocabulary of 32 k pieces with byte fallback, word by word."""
-
-    def __init__(self, folder: str | None = None) -> None:
-        from sentencepiece import SentencePieceProcessor
-
-        self._model = SentencePieceProcessor(model_file=vocabulary_path("piece_bpe_32k.model", folder))
-        self._known: dict[bytes, bytes] = {}
-        self.is_byte = np.array([self._model.is_byte(i) for i in range(self._model.vocab_size())])
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        """Ids of all words, each encoded on its own."""
-        known = self._known
-        if len(known) > _REMEMBERED:
-            known.clear()
-        new = [w for w in set(words) if w not in known]
-        if new:
-            coded = self._model.encode([w.decode() for w in new], num_threads=1)
-            known.update((w, np.array(ids, "<u2").tobytes()) for w, ids in zip(new, coded, strict=True))
-        return np.frombuffer(b"".join([known[w] for w in words]), "<u2")
+            return np.array(self._special.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self._plain.encode_ordinary(text), "<u4")
 
 
 def byte_tokens(folder: str | None = None) -> ByteTokens:
     return _loaded.setdefault(("byte", folder), None) or _load(("byte", folder), ByteTokens)
 
 
-def piece_tokens(folder: str | None = None) -> PieceTokens:
-    return _loaded.setdefault(("piece", folder), None) or _load(("piece", folder), PieceTokens)
-
-
 def _load(key: tuple, kind: type):
     _loaded[key] = kind(key[1])
     return _loaded[key]
