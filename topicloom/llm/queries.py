@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import licenses
+from topicloom.llm import licenses, oracles
 from topicloom.llm.fertility import quality
 from topicloom.llm.metricjoin import vector_links
 from topicloom.llm.minhash import near_duplicates
@@ -23,18 +23,18 @@ def op1_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scanned(table(spark, sf, "documents"))
 
 
-@query("op2_minhash_near_dedup")
+@query("op2_minhash_near_dedup", oracles.NEAR_DUPLICATES)
 def op2_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"))
 
 
-@query("op6_substring_dedup")
+@query("op6_substring_dedup", oracles.REPEATS)
 def op6_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     cut = without_repeats(table(spark, sf, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-@query("op10_metric_range_join")
+@query("op10_metric_range_join", oracles.VECTOR_LINKS)
 def op10_metric_range_join(spark: SparkSession, sf: str) -> DataFrame:
     return vector_links(table(spark, sf, "embeddings"))
 
