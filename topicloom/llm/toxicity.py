@@ -54,9 +54,11 @@ SWAP, SIGN, SHRINK = -2.0, -12.0, -1.0  # log probabilities of a look-alike, of
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
 SIZE = len(LETTERS) + 2  # and one place for every other letter
 _CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LETTER, _SIGN = r"[^\W\d_]", "[" + re.escape("".join(LOOKALIKES)) + "]"
 _NOISY = re.compile(rf"{_LETTER}{_SIGN}+{_LETTER}|^{_SIGN}+{_LETTER}|{_LETTER}[0-9@$]+$|({_LETTER})\1\1")
+_LONG_RUN = re.compile(rf"({_LETTER})\1\1")
+_SINGLES = re.compile(r"[ \t]\S[ \t]\S(?:\s|$)")
+HEAD = PREFIXES[0]  # no prefix is shorter, and a shorter feature is a whole word
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 _RUN = re.compile(r"(\S)\1\1+")
 STRETCH = 512
@@ -164,8 +166,12 @@ class Restorer:
     def written(self, text: str) -> set[str]:
         """Distinct lower-cased words of a text, and the words its spaced-out rows close up to."""
         text = text.lower()
-        found = set(_WORD.findall(text))
-        for row in _SPACED.finditer(text):
+        return set(text.split()) | self.closed_up(text)
+
+    def closed_up(self, text: str) -> set[str]:
+        """Words that spaced-out rows of a lower-cased text close up to."""
+        found: set[str] = set()
+        for row in _SPACED.finditer(text) if _SINGLES.search(text) else ():
             letters = "".join(c for c in row[0] if c.isalpha() or c in LOOKALIKES)
             if len(set(letters)) > 2:
                 found.update(self.decode(letters, True).split())
@@ -201,24 +207,41 @@ def _counts(model: np.ndarray):
 
 
 class Evidence:
-    """Evidence of a text: log odds of the distinct strongest features of its restored words."""
+    """Evidence of a text: log odds of the distinct strongest features of its restored words.
+
+    A word of letters alone is its own restored form, and most start like no
+    feature, so they are passed over before anything is looked up.
+    """
 
     def __init__(self, model: np.ndarray, odds: dict[str, float]) -> None:
         self.restorer, self.odds = Restorer(model), odds
         self.known: dict[str, str | None] = {}
+        self.heads = {f[:HEAD] for f in odds}
+
+    def strongest(self, forms: tuple[str, ...]) -> str | None:
+        names = [f for form in forms for f in features(form) if f in self.odds]
+        return max(names, key=lambda f: (self.odds[f], f), default=None)
 
     def feature(self, written: str) -> str | None:
         found = self.known.get(written, "")
         if found == "":
-            names = [f for r in self.restorer.restored(written) for f in features(r) if f in self.odds]
-            found = max(names, key=lambda f: (self.odds[f], f), default=None)
+            found = self.strongest(self.restorer.restored(written))
             if len(self.known) > REMEMBERED:
                 self.known.clear()
             self.known[written] = found
         return found
 
     def of(self, text: str) -> float:
-        return sum(sorted(self.odds[f] for f in {self.feature(w) for w in self.restorer.written(text)} if f))
+        text = text.lower()
+        runs, heads, found = _LONG_RUN.search(text) is not None, self.heads, set()
+        for word in set(text.split()) | self.restorer.closed_up(text):
+            bare = word if word.isalpha() else word.strip(_EDGES)
+            if bare.isalpha() and word[0] not in LOOKALIKES and not (runs and _LONG_RUN.search(word)):
+                if bare[:HEAD] in heads:
+                    found.add(self.strongest((bare,)))
+            else:
+                found.add(self.feature(word))
+        return sum(sorted(self.odds[f] for f in found if f))
 
 
 def _scores(model: np.ndarray, odds: dict[str, float]):
