@@ -12,11 +12,12 @@ A document's set holds its distinct shingles of ``SHINGLE`` lower-cased words
    shuffle. In the rest every class is first paired with its bucket's least
    class only; links found so far give components.
 4. What is left are pairs of a bucket that lie in different components. Members
-   outside the bucket's largest component meet the rest of the bucket, so a
-   bucket filled by one group of near copies makes few pairs or none.
-5. A pair goes on if its sizes allow the threshold and the similarity estimated
-   from the signatures, corrected for chance agreement of two bits, is not under
-   ``PERCENT`` by more than six standard errors. Links are confirmed on full sets.
+   outside the bucket's largest component meet those of like size in the rest of
+   the bucket, so one filled by a group of near copies makes few pairs or none.
+5. A pair leaves its bucket only if its sizes allow the threshold and the
+   similarity estimated from the signatures, corrected for chance agreement of two
+   bits, is not under ``PERCENT`` by more than six standard errors. Links are
+   confirmed on full sets.
 
 Every pair of a bucket is thus either compared or already in one component. A
 pair exactly at the threshold misses all 34 bands of 6 with probability 1e-7.
@@ -49,6 +50,7 @@ ROWS = 6
 BITS = 2
 LONGS = -(-BANDS * ROWS * BITS // 64)
 LANES = 64 // BITS
+STEP = 0.17  # of the logarithm of set sizes; over -log(PERCENT / 100)
 
 _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64))
 _FACTORS = (_SEEDS[: BANDS * ROWS] | np.uint64(1))[:, None]
@@ -132,17 +134,6 @@ def estimate_floor() -> float:
     return s - 6 * (match * (1 - match) / (BANDS * ROWS)) ** 0.5 / (1 - chance)
 
 
-def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs that sizes and signatures do not rule out."""
-    side = lambda n: classes.select(F.col("node").alias(n), F.col("n").alias(f"n_{n}"), F.col("bits").alias(f"bits_{n}"))
-    return (
-        pairs.join(side("a"), "a").join(side("b"), "b")
-        .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT)
-        .where(estimated_similarity("bits_a", "bits_b") >= estimate_floor())
-        .select("a", "b")
-    )
-
-
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs whose full sets reach the threshold."""
     sides = [sets.select(F.col("node").alias(n), F.col("items").alias(f"items_{n}")) for n in ("a", "b")]
@@ -170,24 +161,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = materialize(texts.mapInArrow(_sets, "node bigint, items array<bigint>"), "sets")
 
     def links(pairs: DataFrame) -> DataFrame:
-        return materialize(_confirmed(_plausible(pairs.distinct(), classes), sets), "links")
-
-    stars = links(shared.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-    placed = materialize(_placed(shared, components(stars)), "placed")
-    near = _largest(placed)
-    again = links(
-        placed.join(near, "bucket").where("component <> most")
-        .select(F.greatest("node", "most").alias("a"), F.least("node", "most").alias("b"))
-    )
+        return materialize(_confirmed(pairs.distinct(), sets), "links")
+
+    held = materialize(shared.select("bucket", "node").join(classes.select("node", "n", "bits"), "node"), "held")
+    stars = links(_around(held, shared.select("bucket", F.col("pivot").alias("b")).distinct(), classes))
+    placed = materialize(_placed(held, components(stars)), "placed")
+    most = _largest(placed)
+    again = links(_around(placed.join(most, "bucket").where("component <> most"), most.select("bucket", F.col("most").alias("b")), classes))
     found = stars.union(again)
-    placed = materialize(_placed(shared, components(found)), "placed")
-    near = _largest(placed)
-    outside = placed.join(near, "bucket").where("component <> most").select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"))
-    inside = placed.join(near.select("bucket"), "bucket").select("bucket", F.col("node").alias("y"), F.col("component").alias("cy"))
-    rest = links(
-        outside.join(inside, "bucket").where("cx <> cy")
-        .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-    )
+    placed = materialize(_placed(held, components(found)), "placed")
+    rest = links(_across(placed.join(_largest(placed), "bucket")))
     labels = components(found.union(rest).union(copies))
     component = F.coalesce("component", "doc_id")
     return (
@@ -197,9 +180,40 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def _placed(shared: DataFrame, labels: DataFrame) -> DataFrame:
+def _around(members: DataFrame, centres: DataFrame, classes: DataFrame) -> DataFrame:
+    """Plausible pairs of bucket members with their bucket's centre ``(bucket, b)``."""
+    side = classes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    own = members.select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    return own.join(centres.join(side, "b"), "bucket").where("a <> b").where(_allowed()).select("a", "b")
+
+
+def _across(members: DataFrame) -> DataFrame:
+    """Plausible pairs of a bucket in different components, one side outside its largest component.
+
+    Only sets of like size can be linked, so members meet by bucket and size step
+    (a step's ratio is below the threshold: neighbouring steps suffice), and what
+    sizes or signatures rule out never leaves the join.
+    """
+    held = members.withColumn("step", F.floor(F.log("n") / STEP))
+    x = held.where("component <> most").select(
+        "bucket", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"),
+        F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    y = held.select(
+        "bucket", "step", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("n_b"),
+        F.col("bits").alias("bits_b"), "most")
+    apart = "ca <> cb and (cb = most or a > b)"
+    return x.join(y, ["bucket", "step"]).where(apart).where(_allowed()).select("a", "b")
+
+
+def _allowed():
+    """Whether the sizes and signatures of a pair leave the threshold possible."""
+    sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
+    return sizes & (estimated_similarity("bits_a", "bits_b") >= estimate_floor())
+
+
+def _placed(held: DataFrame, labels: DataFrame) -> DataFrame:
     """Bucket members with the component they are in so far."""
-    return shared.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    return held.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def _largest(placed: DataFrame) -> DataFrame:
