@@ -174,7 +174,7 @@ def mixture(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = F.greatest(F.col("block") * BLOCK - F.col("begin"), F.lit(0))
     behind = F.least(F.col("block") * BLOCK + F.col("words") - F.col("begin"), F.col("size"))
     spans = (
-        held.join(slots, ["source_at", "block"])
+        held.join(slots.hint("merge"), ["source_at", "block"])  # the planner sees only the strata's numbers and would broadcast the slots
         .withColumn("from_word", first).withColumn("to_word", behind).where("to_word > from_word")
         .select("shard", "slot", "source_at", "block", "copy", "doc_id", "version", "begin", "from_word", "to_word")
     )
