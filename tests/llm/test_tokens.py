@@ -9,12 +9,13 @@ import pytest
 from fixtures import corpus, long_text
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
 import brute
 from topicloom.llm import packing
 from topicloom.llm.fertility import quality, script_of, token_entropy
-from topicloom.llm.tokens import byte_tokens
+from topicloom.llm.tokens import byte_tokens, piece_tokens
 
 LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -34,6 +35,28 @@ def test_special_strings_and_pieces():
     assert [script_of(t) for t in ("abc", "Жд", "12", "中文 a")] == ["latin", "cyrillic", "none", "han"]
 
 
+def test_byte_fallback_of_pieces(spark):
+    tokens = piece_tokens()
+    ids = tokens.ids(["plain".encode(), "䵖䵗".encode()])
+    assert 0 < tokens.is_byte[ids].mean() < 1
+    model = SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = ["a word of 䵖䵗 in\n\n a  text, \t and more " + " ".join(f"w{i}" for i in range(40)), " ".join("the river ran past the old house and out to sea".split()[i % 7] + str(i) for i in range(40))]
+    rows = quality(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    for r in rows:
+        want = [i for w in texts[r.doc_id].split() for i in model.encode(w)]
+        assert r.byte_share == pytest.approx(sum(map(model.is_byte, want)) / len(want)) and r.chars_per_token == pytest.approx(r.word_chars / len(want))
+        assert r.level_entropy == token_entropy(byte_tokens().ids(texts[r.doc_id])) and (r.byte_share > 0) == (r.doc_id == 0)
+
+
+def test_quality_rejects_by_byte_fallback_alone(spark):
+    plain = [" ".join(f"{w}{(i * 7 + j * j) % 50}" for j, w in enumerate("the house by a river was small and green with light water over paper walls so we went home again today".split())) for i in range(40)]
+    fallen = " ".join(w + ("" if j % 7 else "\u314b") for j, w in enumerate(plain[0].split()))
+    rows = [(i, t, "en") for i, t in enumerate(plain)] + [(100, fallen, "en")]
+    got = {r.doc_id: r for r in quality(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    odd = got.pop(100)
+    assert not odd.kept and odd.byte_share > 0.05 and odd.part_share == 0 and all(r.kept for r in got.values())
+
+
 def test_quality(spark):
     docs = [*corpus(), (900, long_text()), (901, "line\nline\n \nline " + "# $ " * 30)]
     rows = [(d, t, "en" if d % 3 else None, 1) for d, t in docs]

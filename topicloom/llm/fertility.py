@@ -1,11 +1,14 @@
 """Quality rules: text statistics and tokeniser fertility.
 
-Base rules look at the words alone. The fertility rule measures how a public
-byte-level vocabulary takes a text: word characters per token, share of tokens
-that fall back to parts of a character, and entropy of the tokens in bits. Bands of these three are drawn per language
-(per script where a row names no language) from all documents that pass the
-base rules: the quartiles, widened by ``SPREAD`` interquartile ranges and at
-least by ``LEAST``. A document outside a band is rejected. Quartiles are merged
+Base rules look at the words alone. The fertility rule measures how two public
+vocabularies take a text. The one of pieces with byte fallback encodes its words:
+word characters per token, share of byte-fallback tokens, and entropy of the
+tokens in bits. The byte-level one encodes the text with its white space: the same
+three as ``level_chars_per_token``, ``part_share`` (tokens that are no whole
+characters; it has no byte fallback) and ``level_entropy``. Bands of these six are
+drawn per language (per script where a row names no language) from all documents
+that pass the base rules: the quartiles, widened by ``SPREAD`` interquartile ranges
+and at least by ``LEAST``. A document outside a band is rejected. Quartiles are merged
 from per-task summaries, so a language with most of the rows is no burden, and
 only the bands, one row per language or script, are joined back.
 
@@ -25,16 +28,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.llm.hashing import covered, gram_hashes, word_hashes
-from topicloom.llm.tokens import byte_tokens
+from topicloom.llm.tokens import byte_tokens, piece_tokens
 from topicloom.storage import materialize, spread
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
 REPEAT_PERCENT = 30
-MEASURES = ("chars_per_token", "byte_share", "entropy")
+MEASURES = ("chars_per_token", "byte_share", "entropy", "level_chars_per_token", "part_share", "level_entropy")
 SPREAD = 4.0
-LEAST = {"chars_per_token": 0.2, "byte_share": 0.05, "entropy": 1.0}
+LEAST = dict(zip(MEASURES, (0.2, 0.05, 1.0) * 2, strict=True))
 #: First code point of each script told apart, ascending.
 SCRIPTS = ((0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "other"), (0x0590, "hebrew"), (0x0600, "arabic"),
            (0x0700, "other"), (0x0900, "indic"), (0x0E00, "thai"), (0x0E80, "other"), (0x1100, "hangul"), (0x1200, "other"),
@@ -69,9 +72,14 @@ def token_entropy(ids: np.ndarray) -> float:
     return float(-(share * np.log2(share)).sum())
 
 
+def fertility(ids: np.ndarray, fallback: np.ndarray, chars: int) -> tuple[float, float, float]:
+    """Characters per token, share of tokens in ``fallback``, entropy."""
+    return chars / len(ids), float(fallback[ids].mean()), token_entropy(ids)
+
+
 def _measures(folder: str | None):
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = byte_tokens(folder)
+        pieces, tokens = piece_tokens(folder), byte_tokens(folder)
         for batch in batches:
             rows = []
             for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist(), strict=True):
@@ -83,13 +91,12 @@ def _measures(folder: str | None):
                 symbols = len(data) - len(data.translate(None, SYMBOLS))
                 repeats = repeated_words(data)
                 failed = len(words) < MIN_WORDS or 100 * repeats > REPEAT_PERCENT * len(words)
-                figures = (None, None, None)
+                figures = (None,) * len(MEASURES)
                 if not failed:
-                    ids = tokens.ids(text)
-                    figures = (chars / len(ids), float(tokens.is_part[ids].mean()), token_entropy(ids))
+                    figures = (*fertility(pieces.ids(words), pieces.is_byte, chars), *fertility(tokens.ids(text), tokens.is_part, chars))
                 group = f"lang {lang}" if lang is not None else f"script {script_of(text)}"
                 rows.append((len(words), chars, symbols, len(lines) - len(set(lines)), repeats, failed, group, *figures))
-            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.string()] + [pa.float64()] * 3
+            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.string()] + [pa.float64()] * len(MEASURES)
             columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
             yield pa.record_batch([batch.column("doc_id"), batch.column("version"), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names=NAMES)
 
@@ -102,7 +109,7 @@ NAMES = ["doc_id", "version", "n_words", "word_chars", "n_symbols", "n_dup_lines
 def measured(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """Base statistics and fertility figures per row (figures null where the base rules fail)."""
     schema = ("doc_id bigint, version bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint,"
-              " base_failed boolean, band string, chars_per_token double, byte_share double, entropy double")
+              " base_failed boolean, band string, " + ", ".join(f"{m} double" for m in MEASURES))
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     columns = [F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"), lang.alias("lang")]
     source = spread(docs.select(*columns, row_version(docs).alias("version")), "doc_id")

@@ -51,10 +51,28 @@ class ByteTokens:
         return np.array(self._plain.encode_ordinary(text), "<u4")
 
 
+class PieceTokens:
+    """Ids of the vocabulary of 32 k pieces with byte fallback."""
+
+    def __init__(self, folder: str | None = None) -> None:
+        from sentencepiece import SentencePieceProcessor
+
+        self._model = SentencePieceProcessor(model_file=vocabulary_path("piece_bpe_32k.model", folder))
+        self.is_byte = np.array([self._model.is_byte(i) for i in range(self._model.vocab_size())])
+
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        """Ids of all words, encoded as one text; no piece spans a space, so they are the ids of each word on its own."""
+        return np.array(self._model.encode(b" ".join(words).decode(), num_threads=1), "<u4")
+
+
 def byte_tokens(folder: str | None = None) -> ByteTokens:
     return _loaded.setdefault(("byte", folder), None) or _load(("byte", folder), ByteTokens)
 
 
+def piece_tokens(folder: str | None = None) -> PieceTokens:
+    return _loaded.setdefault(("piece", folder), None) or _load(("piece", folder), PieceTokens)
+
+
 def _load(key: tuple, kind: type):
     _loaded[key] = kind(key[1])
     return _loaded[key]
