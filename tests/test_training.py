@@ -77,6 +77,23 @@ def test_long_documents_are_cut_and_whole(spark, planted):
         assert [x + y for x, y in zip(own, row["base"])] == whole[row["doc_id"]]
 
 
+@pytest.mark.parametrize("segment_tokens", [65_536, 8])
+def test_counts_are_exchanged_every_sweep_unless_asked(spark, planted, monkeypatch, segment_tokens):
+    params, calls, sweep_shards = replace(PARAMS, segment_tokens=segment_tokens), [], shards.sweep_shards
+
+    def counted(*args, sweeps=1, **rest):
+        calls.append(sweeps)
+        return sweep_shards(*args, sweeps=sweeps, **rest)
+
+    monkeypatch.setattr(shards, "sweep_shards", counted)
+    every = rows_of(batch.fit_distributed(planted, params, sweeps=3).tokens)
+    assert calls == [1, 1, 1]
+    assert every == rows_of(batch.fit_distributed(planted, replace(params, sweeps_per_sync=1), sweeps=3).tokens)
+    calls.clear()
+    assert every != rows_of(batch.fit_distributed(planted, replace(params, sweeps_per_sync=2), sweeps=3).tokens)
+    assert calls == [2, 1]
+
+
 def test_sequential_sampler_is_a_block_of_one(spark, planted):
     model = batch.fit_distributed(planted, replace(PARAMS, block_tokens=1), sweeps=15)
     assert doc_purity(model) > 0.9

@@ -83,9 +83,9 @@ def shard_words(packed: DataFrame) -> DataFrame:
     return packed.select(F.col("shard").alias("shard"), F.explode(F.array_distinct("wid")).alias("wid")).distinct()
 
 
-def pull_shard_rows(packed: DataFrame, model: DataFrame) -> DataFrame:
-    """Model rows (shard, wid, n) each shard needs; words without a row get none."""
-    return shard_words(packed).join(model.select("wid", "n"), "wid").select("shard", "wid", "n")
+def pull_shard_rows(pairs: DataFrame, model: DataFrame) -> DataFrame:
+    """Model rows (shard, wid, n) each shard of ``shard_words`` needs; words without a row get none."""
+    return pairs.join(model.select("wid", "n"), "wid").select("shard", "wid", "n")
 
 
 def _flat(column: pa.ChunkedArray):
@@ -184,6 +184,7 @@ def _shard_kernel(params: TopicParams, totals: list[float], fill: float, own: bo
 def sweep_shards(
     packed: DataFrame, model_rows: DataFrame, totals: list[float], params: TopicParams,
     fill: float = 0.0, own_counts: bool = False, sweeps: int = 1, kept: int = 1, first: int = 1, keyed: bool = False,
+    pairs: DataFrame | None = None,
 ) -> DataFrame:
     """Run ``sweeps`` sweeps in every shard from one snapshot of the model.
 
@@ -194,6 +195,7 @@ def sweep_shards(
     column ``samples``: one array of topics per kept sweep, oldest first. With
     ``keyed`` a sweep draws all tokens from one state of the counts by uniforms
     keyed by (seed, document, position, sweep), the way of ``gibbs_sweep_sync``.
+    ``pairs`` are the saved ``shard_words``, if there are any.
     """
     if keyed:
         uniform = F.transform("pos", lambda p: keyed_uniform(params.seed, F.col("doc_id"), p, first))
@@ -201,7 +203,7 @@ def sweep_shards(
     kept = min(kept, sweeps)
     kernel = _shard_kernel(params, totals, fill, own_counts, sweeps, kept, first)
     schema = PACKED + (", samples array<array<int>>" if kept > 1 else "")
-    rows = pull_shard_rows(packed, model_rows)
+    rows = pull_shard_rows(shard_words(packed) if pairs is None else pairs, model_rows)
     return packed.groupBy("shard").cogroup(rows.groupBy("shard")).applyInArrow(kernel, schema)
 
 

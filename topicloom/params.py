@@ -14,11 +14,10 @@ class TopicParams:
     of one batch in the unit of the batch time.
 
     Ours: a shard sweeps ``sweeps_per_sync`` times between two exchanges of word
-    counts (1 exchanges after every sweep; corpora with documents longer than
-    ``segment_tokens`` always do), and ``block_tokens`` tokens are drawn from one
-    state of the counts (1 is the plain sequential sampler). A document longer
-    than ``segment_tokens`` is swept in segments, each with the others' counts as
-    of the last exchange.
+    counts (by default, and in the reference, counts are exchanged after every
+    sweep), and ``block_tokens`` tokens are drawn from one state of the counts (1
+    is the plain sequential sampler). A document longer than ``segment_tokens`` is
+    swept in segments, each with the others' counts as of the last exchange.
     """
 
     # Defaults of the reference's option objects.
@@ -38,7 +37,7 @@ class TopicParams:
     tokens_per_shard: int = 200_000
     segment_tokens: int = 65_536
     block_tokens: int = 2_048
-    sweeps_per_sync: int = 10
+    sweeps_per_sync: int = 1
 
     def __post_init__(self) -> None:
         positive = (

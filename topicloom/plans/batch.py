@@ -42,9 +42,9 @@ def fit_distributed(
 ) -> FittedTopics:
     """Approximate distributed Gibbs sampling.
 
-    Per sweep every shard pulls the rows of its words, sweeps its documents in
+    Per exchange every shard pulls the rows of its words, sweeps its documents in
     order against its own copy, ``sweeps_per_sync`` times over, and the new counts
-    are one aggregation. Each exchange ends in a saved table, so neither plans nor
+    are one aggregation. Which words a shard has never changes and is saved once. Each exchange ends in a saved table, so neither plans nor
     recovery grow with the number of sweeps. A model handed to ``on_report`` is
     valid during the call. ``keyed`` makes every sweep a synchronous one with
     uniforms keyed by token, which SQL can repeat.
@@ -63,6 +63,7 @@ def fit_distributed(
         shards.pack_segments(encoded, params, shard_number or shards.shard_count(token_number, params)), "start"
     )
     several = packed.where("seg > 0").limit(1).count() > 0
+    pairs = work.save(shards.shard_words(packed), "pairs")
     rows = work.save(shards.packed_counts(packed, k), "rows")
     totals = C.totals_list(rows, k)
 
@@ -71,12 +72,14 @@ def fit_distributed(
 
     sweep = 0
     while sweep < sweeps:
-        rounds = min(1 if several or keyed else params.sweeps_per_sync, sweeps - sweep)
+        rounds = min(1 if keyed else params.sweeps_per_sync, sweeps - sweep)
         if on_report:
             rounds = min(rounds, report_every - sweep % report_every)
         smooth = [value + vocab_size * params.beta for value in totals]
         source = shards.refresh_base(packed, params) if several else packed
-        swept = shards.sweep_shards(source, rows, smooth, params, fill=float(params.beta), sweeps=rounds, first=sweep + 1, keyed=keyed)
+        swept = shards.sweep_shards(
+            source, rows, smooth, params, fill=float(params.beta), sweeps=rounds, first=sweep + 1, keyed=keyed, pairs=pairs
+        )
         sweep += rounds
         old = (packed, rows)
         packed = work.save(swept, f"sweep{sweep}")
