@@ -119,6 +119,22 @@ def test_toxicity(spark, toxic_rows):
     assert {r.predicted for r in bare} == {0} and len(bare) == len(got)
 
 
+def test_licenses_inside_lines_and_wrapped(spark):
+    apache = "Licensed under the Apache License, Version 2.0."
+    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 100)
+    texts = [
+        "Copyright (c) 2020 Foo. Released under the MIT License.",
+        "some words of a page on one line " * 30 + apache + " and more words of the page" * 30,
+        "/* A tool for things\n * Licensed under the Apache\n * License, Version 2.0.\n * It does this and that, as told below,\n * and much more than what fits here\n * in these few lines of a header.\n */",
+        "about us " * 20 + mit + " and so on " * 20 + apache,
+        apache + "\n\nfoo bar " + apache + " other words follow it here, " + apache,
+        "Use of this is under the rules of the house and the license of the owner " * 20,
+    ]
+    got = licenses.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    found = {r.doc_id: (r.n_notices, r.licenses) for r in got}
+    assert found == {0: (1, "MIT"), 1: (1, "Apache-2.0"), 2: (1, "Apache-2.0"), 3: (2, "Apache-2.0,MIT"), 4: (3, "Apache-2.0"), 5: (0, "")}
+
+
 def test_license_scan_equals_its_sql(spark):
     mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 100)
     wrapped = "Intro\n\n" + mit[:70] + "\n" + mit[70:160] + "\n" + mit[160:] + "\n\nrest"
