@@ -11,7 +11,7 @@ from topicloom.operators import tokens as T
 from topicloom.params import TopicParams
 from topicloom.plans import batch, online
 from topicloom.sources import documents as D
-from topicloom.storage import list_names, materialize, shared_root
+from topicloom.storage import Workspace, list_names, materialize, shared_root
 from topicloom.streaming.trainer import StreamTrainer
 
 PARAMS = TopicParams(num_topics=2, alpha=0.5, beta=0.1, tokens_per_shard=500, block_tokens=16, duration=1)
@@ -94,6 +94,26 @@ def test_counts_are_exchanged_every_sweep_unless_asked(spark, planted, monkeypat
     assert calls == [2, 1]
 
 
+def test_segments_see_each_other_between_inner_sweeps(spark, planted, monkeypatch):
+    work, k = Workspace(spark), 2
+    tokens = work.save(T.token_table(planted).withColumn("wid", F.ascii("term").cast("bigint")).drop("term"), "tokens")
+    prior = work.save(tokens.select("wid").distinct().withColumn("n", F.array(F.lit(0.1), F.lit(0.1))), "prior")
+    infer = lambda params: batch.infer_batch(tokens, prior, [1.6, 1.6], params, 3, work)
+    cut, given, refresh = replace(PARAMS, segment_tokens=8, batch_iterations=4, kept_samples=2), [], shards.refresh_base
+
+    def seen(packed, params):
+        given.append({(r.doc_id, r.seg): r.topic for r in packed.collect()})
+        return refresh(packed, params)
+
+    monkeypatch.setattr(shards, "refresh_base", seen)
+    got = {(r.doc_id, r.seg): r for r in infer(cut).collect()}
+    assert len(given) == 4 and len({str(sorted(g.items())) for g in given}) == 4
+    assert all(r.samples == [given[3][at], r.topic] for at, r in got.items())
+    drawn = shards.sample_tokens(infer(cut), 4)
+    assert {r.sweep: r["count"] for r in drawn.groupBy("sweep").count().collect()} == {s: tokens.count() for s in (3, 4)}
+    assert all(len(topic) == len(r.pos) and set(topic) <= set(range(k)) for r in got.values() for topic in r.samples)
+
+
 def test_sequential_sampler_is_a_block_of_one(spark, planted):
     model = batch.fit_distributed(planted, replace(PARAMS, block_tokens=1), sweeps=15)
     assert doc_purity(model) > 0.9

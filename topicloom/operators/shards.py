@@ -192,7 +192,8 @@ def sweep_shards(
     pulled rows plus ``fill``; with ``own_counts`` the shard's own counts are
     added to rows and totals (for a model that does not yet contain them).
     Returns the packed rows with the last topics and, for ``kept`` > 1, the
-    column ``samples``: one array of topics per kept sweep, oldest first. With
+    column ``samples``: one array of topics per kept sweep, oldest first (a
+    ``samples`` column of ``packed`` is passed on as it is). With
     ``keyed`` a sweep draws all tokens from one state of the counts by uniforms
     keyed by (seed, document, position, sweep), the way of ``gibbs_sweep_sync``.
     ``pairs`` are the saved ``shard_words``, if there are any.
@@ -202,7 +203,7 @@ def sweep_shards(
         packed = packed.withColumn("u", uniform)
     kept = min(kept, sweeps)
     kernel = _shard_kernel(params, totals, fill, own_counts, sweeps, kept, first)
-    schema = PACKED + (", samples array<array<int>>" if kept > 1 else "")
+    schema = PACKED + (", samples array<array<int>>" if kept > 1 or "samples" in packed.columns else "")
     rows = pull_shard_rows(shard_words(packed) if pairs is None else pairs, model_rows)
     return packed.groupBy("shard").cogroup(rows.groupBy("shard")).applyInArrow(kernel, schema)
 

@@ -168,9 +168,26 @@ def infer_batch(
     started = gibbs.init_topics_uniform(tokens, params)
     packed = work.save(shards.pack_segments(started, params, shard_number), "packed")
     if packed.where("seg > 0").limit(1).count() > 0:
-        packed = shards.refresh_base(packed, params)
+        return _infer_segments(packed, prior_rows, prior_totals, params, work)
     swept = shards.sweep_shards(
         packed, prior_rows, prior_totals, params, own_counts=True,
         sweeps=params.batch_iterations, kept=params.kept_samples,
     )
     return work.save(swept, "samples")
+
+
+def _infer_segments(packed: DataFrame, prior_rows: DataFrame, prior_totals: list[float], params: TopicParams, work: Workspace) -> DataFrame:
+    """The same sweeps one at a time: before each, segments of a document learn each other's counts."""
+    kept = min(params.kept_samples, params.batch_iterations)
+    pairs = work.save(shards.shard_words(packed), "pairs")
+    if kept > 1:
+        packed = work.save(packed.withColumn("samples", F.array().cast("array<array<int>>")), "start")
+    for sweep in range(1, params.batch_iterations + 1):
+        swept = shards.sweep_shards(
+            shards.refresh_base(packed, params), prior_rows, prior_totals, params, own_counts=True, first=sweep, pairs=pairs
+        )
+        if kept > 1 and sweep > params.batch_iterations - kept:
+            swept = swept.withColumn("samples", F.concat("samples", F.array("topic")))
+        old, packed = packed, work.save(swept, f"samples{sweep}")
+        work.drop(old)
+    return packed
