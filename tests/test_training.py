@@ -2,6 +2,8 @@
 
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,3 +250,33 @@ def test_keyed_sweeps_equal_synchronous_ones(spark, planted):
     model = batch.fit_distributed(planted, params, sweeps=1, keyed=True)
     start = gibbs.init_topics_uniform(T.encode_docs(T.token_table(planted), model.vocab), params)
     assert rows_of(model.tokens) == rows_of(gibbs.gibbs_sweep_sync(start, params, 1).select(*model.tokens.columns))
+
+
+def test_shard_kernel_equals_brute_force():
+    """Several sweeps of one exchange, a token at a time, under the kernel's own random numbers."""
+    params = replace(PARAMS, num_topics=3, block_tokens=1)
+    docs, topics = [[5, 9, 5, 7], [9, 9, 5], [7, 5, 9, 7, 7]], [[0, 1, 2, 1], [2, 2, 0], [1, 0, 0, 2, 1]]
+    rows = {5: [4.0, 2.0, 3.0], 7: [3.0, 3.0, 2.0], 9: [2.0, 4.0, 5.0]}  # other shards' tokens among them
+    totals = [sum(n[z] for n in rows.values()) + 0.3 for z in range(3)]
+    segments = pa.table({
+        "shard": pa.array([4] * 3, pa.int32()), "doc_id": [0, 1, 2], "seg": pa.array([0] * 3, pa.int32()), "pos": [list(range(len(d))) for d in docs],
+        "wid": docs, "topic": pa.array(topics, pa.list_(pa.int32())), "base": pa.array([None] * 3, pa.list_(pa.float64()))})
+    table = pa.table({"shard": [4] * 3, "wid": list(rows), "n": list(rows.values())})
+    got = shards._shard_kernel(params, totals, 0.1, False, 3, 1, 2)((pa.scalar(4),), segments, table)["topic"].to_pylist()
+
+    want, words, t = [list(z) for z in topics], {w: [x + 0.1 for x in n] for w, n in rows.items()}, list(totals)
+    for sweep in (2, 3, 4):
+        rng = np.random.Generator(np.random.Philox(key=[params.seed, (4 << 20) + sweep]))
+        for d, doc in enumerate(docs):
+            for i, w in enumerate(doc):
+                old = want[d][i]
+                words[w][old] -= 1
+                t[old] -= 1
+                rest = want[d][:i] + want[d][i + 1 :]
+                weight = [(rest.count(z) + params.alpha) * words[w][z] / t[z] for z in range(3)]
+                mark = rng.random() * sum(weight)
+                new = next(z for z in range(3) if z == 2 or sum(weight[: z + 1]) > mark)
+                words[w][new] += 1
+                t[new] += 1
+                want[d][i] = new
+    assert got == want and got != topics
