@@ -22,7 +22,7 @@ def test_sql_equals_brute_force():
 @pytest.mark.parametrize("name", sorted(LLM_ORACLES))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings", "labels"):
+    for table in ("documents", "embeddings", "labels", "benchmark", "conversations"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want, got = con.sql(LLM_ORACLES[name]).df(), LLM_QUERIES[name](spark, SF).toPandas()
     assert sorted(want.columns) == sorted(got.columns) and len(want) == len(got)

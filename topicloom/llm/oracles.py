@@ -44,3 +44,22 @@ counts AS (SELECT a, count(*) AS n FROM both_ways GROUP BY a),
 SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id,
   vec_id = coalesce(component_id, vec_id) AS kept
 FROM embeddings LEFT JOIN counts ON a = vec_id LEFT JOIN component ON node = vec_id"""
+
+_RUNS = r"list_filter(string_split_regex({text}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+_LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+
+CONTAMINATED = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_RUNS.format(text=_LOWERED)} AS w FROM documents),
+b AS (SELECT item_id, {_RUNS.format(text=_LOWERED)} AS w FROM benchmark),
+sized AS (SELECT item_id, w, least(len(w), 10) AS size FROM b WHERE len(w) > 0),
+windows AS MATERIALIZED (SELECT DISTINCT item_id, size,
+  unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS gram FROM sized),
+runs AS (SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS i,
+  unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS gram
+  FROM d, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size),
+hits AS MATERIALIZED (SELECT doc_id, i, size, item_id FROM runs JOIN windows USING (size, gram)),
+places AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS place FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hits GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(places.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(places.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN places ON places.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id"""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.llm import licenses, oracles
+from topicloom.llm.decontamination import contaminated
 from topicloom.llm.fertility import quality
 from topicloom.llm.metricjoin import vector_links
 from topicloom.llm.minhash import near_duplicates
@@ -67,3 +68,12 @@ def op9_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_noisy_channel_toxicity")
 def op7_noisy_channel_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return scored(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op12_benchmark_decontamination", oracles.CONTAMINATED)
+def op12_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    found = contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s.stop - s.start)
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
