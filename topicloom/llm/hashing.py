@@ -80,6 +80,14 @@ def word_hashes(data: bytes, lane: int = 0) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """One hash per span of the bytes ``raw``: that of a word of the same bytes."""
+    power, inverse = _power_table(lane, len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTES[lane][raw] * power[: len(raw)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inverse[starts])
+
+
 def gram_hashes(words: np.ndarray, size: int, lane: int = 0) -> np.ndarray:
     """One hash per run of ``size`` consecutive words; none if there are fewer words."""
     count = len(words) - size + 1

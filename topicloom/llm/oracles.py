@@ -63,3 +63,20 @@ items AS (SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_
 SELECT d.doc_id, len(w) AS n_words, coalesce(places.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(places.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN places ON places.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id"""
+
+COLLOCATIONS = f"""
+WITH d AS MATERIALIZED (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWERED}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+p AS MATERIALIZED (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM d),
+totals AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+f AS MATERIALIZED (SELECT lang, size, gram, count(*) AS a FROM (
+  SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: w[i:i + size - 1])) AS gram FROM p, range(1, 6) t(size) WHERE len(w) >= size)
+  GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (SELECT c.lang, c.gram, c.a, totals.n, k, x.a AS l, y.a AS r, (1000::HUGEINT * c.a * totals.n) // (x.a::HUGEINT * y.a) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM f WHERE size > 1) c JOIN totals USING (lang)
+  JOIN f x ON x.lang = c.lang AND x.gram = c.gram[1:k] JOIN f y ON y.lang = c.lang AND y.gram = c.gram[k + 1:]),
+best AS (SELECT lang, gram, a, n, min(struct_pack(score := score, k := k, l := l, r := r)) AS b FROM cuts GROUP BY lang, gram, a, n),
+inside AS (SELECT lang, gram[1:size - 1] AS gram, a FROM f UNION SELECT lang, gram[2:] AS gram, a FROM f),
+kept AS (SELECT best.* FROM best ANTI JOIN inside USING (lang, gram, a)),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY b.score DESC, a DESC, encode(array_to_string(gram, ' '))) AS rank,
+  array_to_string(gram, ' ') AS phrase, a, b.l AS l, b.r AS r, n::BIGINT AS n, b.score::BIGINT AS score FROM kept)
+SELECT * FROM ranked WHERE rank <= 2000"""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.llm import licenses, oracles
+from topicloom.llm.collocations import collocations
 from topicloom.llm.decontamination import contaminated
 from topicloom.llm.fertility import quality
 from topicloom.llm.metricjoin import vector_links
@@ -77,3 +78,8 @@ def op12_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+@query("op13_phrase_collocations", oracles.COLLOCATIONS)
+def op13_phrase_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations(table(spark, sf, "documents"))
