@@ -84,6 +84,46 @@ def test_odd_rows(spark):
     rows = [(None, None, None, None), (None, None, None, None), (1, 0, "USER", ""), (1, 0, "USER", ""), (2, 5, "system", None)]
     got = R.formatted(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).orderBy("conv_id", "place", "part").collect()
     assert [(r.conv_id, r.role, r.action) for r in got] == [
-        (None, "user", "relabel"), (None, "assistant", "relabel"), (1, "user", "keep"), (1, "user", "merge"),
-        (2, "system", "keep"), (2, "user", "insert")]
+        (None, "user", "relabel"), (None, "assistant", "relabel"), (1, "user", "keep"), (1, "user", "merge"), (2, "user", "relabel")]
     assert R.formatted(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
+
+
+def every_repair(given):
+    """(cost, choices) of every way to keep, merge, relabel and insert; choices as the docstring orders them."""
+    order = {"user": 0, "assistant": 1, "system": 2}
+    fills = [()] + [(a,) for a in R.ROLES] + list(itertools.product(R.ROLES, repeat=2))
+    legal = lambda out: all(r == ("user", "assistant")[i % 2] for i, r in enumerate(out[1:] if out[:1] == ["system"] else out))
+
+    def walk(i, out, cost, taken):
+        if i == len(given):
+            if out not in ([], ["system"]):
+                yield cost, (*taken, (0,)), out
+            if out == ["system"]:
+                yield cost + R.INSERT, (*taken, (1,)), [*out, "user"]
+            return
+        if out:
+            yield from walk(i + 1, out, cost + R.MERGE + R.RELABEL * (out[-1] != given[i]), [*taken, (0, 1, order[out[-1]])])
+        for fill in fills:
+            for role in R.ROLES:
+                if legal([*out, *fill, role]):
+                    step = (bool(fill), 0 if role == given[i] else 2, order[role])
+                    yield from walk(i + 1, [*out, *fill, role], cost + R.INSERT * len(fill) + R.RELABEL * (role != given[i]), [*taken, step])
+
+    return walk(0, [], 0, [])
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 4])
+def test_ties_of_all_short_conversations(chunk):
+    """The repair taken is the first of the cheapest, whole or from chunks."""
+    for n in range(1, 5):
+        for given in itertools.product([*R.ROLES, None], repeat=n):
+            cost, taken, out = min(every_repair(given))
+            matrices = [R.product([R._TABLES[r][0] for r in given[k : k + chunk]]) for k in range(0, n, chunk)]
+            ends = R.product(matrices)[R.START] + (R._ENDING << R.BITS)
+            last = int(ends.argmin())
+            assert int(ends[last]) >> R.BITS == cost
+            between = R.states_between(matrices, R.START, last)
+            fixed = [f for k, a, b in zip(range(0, n, chunk), between, between[1:]) for f in R.repaired(list(given[k : k + chunk]), a, b)]
+            got = [r for role, action, before in fixed for r in (*before, *([] if action == "merge" else [role]))] + ["user"] * (last == R.SYSTEM)
+            steps = [(bool(before), ("keep", "merge", "relabel").index(action), ("user", "assistant", "system").index(role)) for role, action, before in fixed]
+            assert (steps, got) == (list(taken[:-1]), out), given

@@ -297,7 +297,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     context = docs.sparkSession.sparkContext
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("version"))
-    source = spread(source, "version")
+    source = spread(source, "doc_id")
     kind = f"doc_id bigint, version bigint, {_FOUND}"
     passes = [source.mapInArrow(_search(context.broadcast(block)), kind) for block in blocks(benchmark)]
     if len(passes) < 2:

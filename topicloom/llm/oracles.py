@@ -80,3 +80,25 @@ kept AS (SELECT best.* FROM best ANTI JOIN inside USING (lang, gram, a)),
 ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY b.score DESC, a DESC, encode(array_to_string(gram, ' '))) AS rank,
   array_to_string(gram, ' ') AS phrase, a, b.l AS l, b.r AS r, n::BIGINT AS n, b.score::BIGINT AS score FROM kept)
 SELECT * FROM ranked WHERE rank <= 2000"""
+
+#: CRC-32 bit by bit: every byte comes in with the first of its eight steps.
+_CRC32 = """xor(4294967295, list_reduce(flatten(list_transform(string_split({text}, ''), lambda c: [ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+  lambda s, x: xor(xor(s, x) >> 1, (xor(s, x) & 1) * 3988292384), 4294967295::BIGINT))"""
+
+PREFIX_TRIE = f"""
+WITH own AS (SELECT conv_id AS c, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}}
+    ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS w FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT c, w, {_CRC32.format(text="c::VARCHAR")} % 6 AS h FROM own),
+r AS MATERIALIZED (SELECT h.c, list_concat(coalesce(base.w, [])[1:h], h.w[h + 1:]) AS w FROM h LEFT JOIN own base ON base.c = h.c - h.c % 100),
+p AS (SELECT c, depth, w[1:depth] AS path, len(w) = depth AS ends, CASE WHEN depth = 0 THEN 0 ELSE length(w[depth].text) END AS size
+  FROM (SELECT c, w, unnest(range(0, len(w) + 1)) AS depth FROM r)),
+n AS MATERIALIZED (SELECT depth, path, min(c) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+  sha256(coalesce(string_agg(CASE WHEN ends THEN c::VARCHAR END, ',' ORDER BY c), '')) AS ends_sha256 FROM p GROUP BY depth, path),
+k AS MATERIALIZED (SELECT n.*, up.conv_id AS parent_conv_id, coalesce(kids, 0) AS n_children FROM n
+  LEFT JOIN n up ON up.depth = n.depth - 1 AND up.path = n.path[1:n.depth - 1] AND n.depth > 0
+  LEFT JOIN (SELECT depth - 1 AS depth, path[1:depth - 1] AS path, count(*) AS kids FROM n WHERE depth > 0 GROUP BY ALL) x
+    ON x.depth = n.depth AND x.path = n.path),
+t AS (SELECT unnest(range(0, depth + 1)) AS level, path, n_children, n_convs, size FROM k),
+s AS (SELECT level AS depth, path[1:level] AS path, sum((n_children = 0)::INT) AS n_leaves, sum((n_convs - 1) * size) AS saved FROM t GROUP BY ALL)
+SELECT conv_id, k.depth, parent_conv_id, n_convs, n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, ends_sha256
+FROM k JOIN s ON s.depth = k.depth AND s.path = k.path"""

@@ -13,6 +13,7 @@ from topicloom.llm.metricjoin import vector_links
 from topicloom.llm.minhash import near_duplicates
 from topicloom.llm.mixing import taken
 from topicloom.llm.packing import packed
+from topicloom.llm.prefixtrie import conversation_trie
 from topicloom.llm.registry import query, table
 from topicloom.llm.resampling import resampled
 from topicloom.llm.roles import formatted
@@ -83,3 +84,8 @@ def op12_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 @query("op13_phrase_collocations", oracles.COLLOCATIONS)
 def op13_phrase_collocations(spark: SparkSession, sf: str) -> DataFrame:
     return collocations(table(spark, sf, "documents"))
+
+
+@query("op11_conversation_prefix_trie", oracles.PREFIX_TRIE)
+def op11_conversation_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return conversation_trie(table(spark, sf, "conversations"))

@@ -7,7 +7,8 @@ merged turn of another role is relabelled too). The cheapest repair is found by
 dynamic programming over the automaton's four states.
 
 A turn is a 4 x 4 matrix of costs from state to state; matrices multiply in the
-(min, +) sense. A conversation of any length is therefore cut into chunks of
+(min, +) sense. Beside its cost an entry carries the rank of its choices among
+the matrix's entries, so that ties are settled in chunks as in the whole. A conversation of any length is therefore cut into chunks of
 ``CHUNK`` turns: chunks are summed up to one matrix each, chunks of chunks
 likewise until each conversation is one, and the way back down fixes every
 chunk's first and last state, so that chunks decode independently. A conversation
@@ -17,8 +18,10 @@ range-partitioned running count, not from one window.
 Defined results: turns are read in order of ``turn`` (null first), ties by role
 and text; roles are read in lower case; a null or unknown role can only be relabelled or merged; null text is
 an empty turn; rows with null ``conv_id`` form one conversation; extra columns
-are ignored. Of equally cheap repairs the one with the earlier choice in the
-order keep, merge, relabel, insert is taken.
+are ignored. Of equally cheap repairs that is taken which, at the first turn where
+they differ, has the earlier choice in the order keep, merge, relabel (each
+without turns inserted before it first), then the earlier role in the order
+user, assistant, system.
 """
 
 from __future__ import annotations
@@ -41,6 +44,7 @@ NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (
 FINAL = (USER, ASSISTANT)
 MERGE, RELABEL, INSERT = 1, 2, 3
 FAR = 1 << 40
+BITS = 5  # of a rank; an entry is cost << BITS | rank
 
 
 def _inserted(state: int, target: int) -> list[int]:
@@ -66,17 +70,22 @@ def _choices(role: str | None) -> list[tuple[int, int, int, str, list[int]]]:
             path = _inserted(state, target)
             action = "keep" if target == own else "relabel"
             found.append((state, target, RELABEL * (target != own) + INSERT * len(path), action, path))
-    rank = {"keep": 0, "merge": 1, "relabel": 2}
-    return sorted(found, key=lambda c: (c[2], bool(c[4]), rank[c[3]], c[1]))
+    return sorted(found, key=lambda c: (c[2], _rank(c)))
+
+
+def _rank(choice: tuple) -> int:
+    """Order of a choice among equally cheap ones."""
+    _, target, _, action, path = choice
+    return 4 * (3 * bool(path) + ("keep", "merge", "relabel").index(action)) + target
 
 
 def _table(role: str | None) -> tuple[np.ndarray, dict]:
-    costs, best = np.full((4, 4), FAR, np.int64), {}
+    entries, best = np.full((4, 4), FAR << BITS, np.int64), {}
     for choice in _choices(role):
-        if choice[2] < costs[choice[0], choice[1]]:
-            costs[choice[0], choice[1]] = choice[2]
+        if (choice[0], choice[1]) not in best:
+            entries[choice[0], choice[1]] = choice[2] << BITS | _rank(choice)
             best[choice[0], choice[1]] = choice
-    return costs, best
+    return entries, best
 
 
 _TABLES = {role: _table(role) for role in (*ROLES, None)}
@@ -88,21 +97,27 @@ def _known(role: str | None) -> str | None:
 
 
 def product(matrices: list[np.ndarray]) -> np.ndarray:
-    total = np.where(np.eye(4, dtype=bool), 0, FAR)
+    """Least cost from state to state over all matrices, and the rank of each entry's choices."""
+    costs, ranks = np.where(np.eye(4, dtype=bool), 0, FAR), np.zeros((4, 4), np.int64)
+    low = (1 << BITS) - 1
     for m in matrices:
-        total = np.minimum((total[:, :, None] + m[None, :, :]).min(axis=1), FAR)
-    return total
+        whole = np.minimum(costs[:, :, None] + (m >> BITS)[None, :, :], FAR)
+        keys = (whole << 2 * BITS) | (ranks << BITS)[:, :, None] | (m & low)[None, :, :]
+        least = keys.min(axis=1)
+        costs = least >> 2 * BITS
+        ranks = np.unique(least & ((1 << 2 * BITS) - 1), return_inverse=True)[1].reshape(4, 4)
+    return costs << BITS | ranks
 
 
 def states_between(matrices: list[np.ndarray], first: int, last: int) -> list[int]:
-    """States before, between and after the matrices on a cheapest way from ``first`` to ``last``."""
+    """States before, between and after the matrices on the way taken from ``first`` to ``last``."""
     ahead = [np.where(np.arange(4) == last, 0, FAR)]
     for m in reversed(matrices):
-        ahead.append(np.minimum((m + ahead[-1][None, :]).min(axis=1), FAR))
+        ahead.append(np.minimum(((m >> BITS) + ahead[-1][None, :]).min(axis=1), FAR))
     ahead.reverse()
     states = [first]
     for m, after in zip(matrices, ahead[1:], strict=True):
-        states.append(int((m[states[-1]] + after).argmin()))
+        states.append(int((m[states[-1]] + (after << BITS)).argmin()))
     return states
 
 
@@ -183,8 +198,8 @@ def formatted(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
         below = levels[-1].withColumnRenamed("at", "place")
         parents.append(_gathered(below, "costs", "costs", chunk).withColumn("costs", F.flatten("costs")))
         levels.append(materialize(parents[-1].mapInArrow(_sum_chunks, matrix), "level"))
-    ends = F.array(*[F.col("costs")[s] + int(_ENDING[s]) for s in range(4)])  # from START, the first row of the matrix
-    known = levels[-1].select("conv", "at", F.lit(START).alias("first"), (F.array_position(ends, F.array_min(ends)) - 1).cast("int").alias("last"), F.array_min(ends).alias("total"))
+    ends = F.array(*[F.col("costs")[s] + (int(_ENDING[s]) << BITS) for s in range(4)])  # from START, the first row of the matrix
+    known = levels[-1].select("conv", "at", F.lit(START).alias("first"), (F.array_position(ends, F.array_min(ends)) - 1).cast("int").alias("last"), F.shiftright(F.array_min(ends), BITS).alias("total"))
     finals = materialize(known, "finals")
     known = finals.drop("total")
     for parent in reversed(parents):
