@@ -171,8 +171,8 @@ def prefix_trie(convs: DataFrame, turns: DataFrame, chunk: int = CHUNK) -> tuple
     deepest = totals.agg(F.max("depth")).first()[0] or 0
     for level in range((int(deepest) - 1).bit_length() if deepest > 1 else 0):
         totals = _graft(totals, paths, 1 << level, chunk, work)
-    top = totals.where("depth = 1").agg(F.sum("n_leaves").alias("more"), F.sum("saved").alias("more_saved")).withColumn("name", F.lit(ROOT))
-    summed = _added(totals, F.broadcast(top)).select("name", "n_leaves", "saved")  # one row
+    top = totals.where("depth <= 1").agg(F.sum("n_leaves").alias("n_leaves"), F.sum("saved").alias("saved")).where("n_leaves is not null")
+    summed = totals.where("depth > 0").select("name", "n_leaves", "saved").union(top.select(F.lit(ROOT), "n_leaves", "saved"))
     lengths = turns.groupBy("conv").agg(F.count("*").alias("turns"))
     last = paths.join(lengths, "conv").where(F.col("at") == F.floor((F.col("turns") - 1) / chunk)).select(F.element_at("names", -1).alias("name"), "conv")
     ends = last.union(convs.join(lengths, "conv", "left_anti").select(F.lit(ROOT).alias("name"), "conv"))
