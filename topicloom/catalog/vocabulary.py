@@ -160,9 +160,9 @@ def vocab_reset(spark, sf):
     docs = doc_tokens(spark, sf).groupBy("doc_id").count().agg(F.count(F.lit(1)).alias("docs"))
     store = StateStore(spark, Workspace(spark).new_path("state"), 1)
     freqs = materialize(T.term_frequency(doc_tokens(spark, sf)), "freqs")
-    store.write_table(0, "vocab", Vb.vocab_add(Vb.empty_vocab(spark), freqs, 0, freqs.count(), 0).vocab)
-    store.write_table(0, "rows", store.empty().rows)
-    store.commit(0, 0, 0, [0.0])
+    step = Vb.vocab_add(Vb.empty_vocab(spark), freqs, 0, freqs.count(), 0)
+    nothing = store.empty()
+    store.commit(store.write_changes(nothing, 0, step.vocab, nothing.rows, 0, step.size, [0.0]))
     before = store.latest().vocab.where("wid >= 0").count()
     store.reset()
     return docs.withColumn("before", F.lit(before).cast("bigint")).withColumn("terms", F.lit(store.latest().vocab.count()).cast("bigint"))

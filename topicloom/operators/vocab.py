@@ -76,11 +76,31 @@ def lru_order() -> list:
     return [F.asc("last_seen"), F.asc("term")]
 
 
+def lru_boundary(idle: DataFrame, n: int) -> int | None:
+    """Least ``last_seen`` up to which ``idle`` has ``n`` terms; None if it has fewer.
+
+    From a histogram, one row per batch time still in the vocabulary, combined
+    before the shuffle and read on the driver a partition at a time.
+    """
+    reached = 0
+    for seen, terms in idle.groupBy("last_seen").agg(F.count(F.lit(1)).alias("terms")).orderBy("last_seen").toLocalIterator():
+        reached += terms
+        if reached >= n:
+            return seen
+    return None
+
+
 def lru_candidates(vocab: DataFrame, t: int, n: int) -> DataFrame:
-    """The ``n`` longest unseen, unpinned terms: (crn, term, wid, last_seen)."""
-    idle = vocab.where((F.col("last_seen") < t) & (F.col("use_count") == 0))
-    ranked = with_global_rank(idle.select("term", "wid", "last_seen"), lru_order(), "crn")
-    return ranked.where(F.col("crn") <= n)
+    """The ``n`` longest unseen, unpinned terms: (crn, term, wid, last_seen).
+
+    Only terms up to the boundary are sorted: at most ``n`` and those that share
+    the boundary's ``last_seen``.
+    """
+    idle = vocab.where((F.col("last_seen") < t) & (F.col("use_count") == 0)).select("term", "wid", "last_seen")
+    boundary = lru_boundary(idle, n)
+    if boundary is not None:
+        idle = idle.where(F.col("last_seen") <= boundary)
+    return with_global_rank(idle, lru_order(), "crn").where(F.col("crn") <= n)
 
 
 @dataclass
@@ -133,13 +153,18 @@ def vocab_add(vocab: DataFrame, freqs: DataFrame, t: int, capacity: int, size: i
 
 @dataclass
 class VocabBatch:
-    """Outcome of one batch: next state, ids of all its terms, new ids, evictions."""
+    """Outcome of one batch: next state, ids of all its terms, new ids, evictions.
+
+    ``changed`` holds the state's rows of the batch's own ids, all that differ
+    from the state before it: an evicted term's id is one of them.
+    """
 
     vocab: DataFrame
     term_ids: DataFrame
     issued: DataFrame
     evicted: DataFrame
     size: int
+    changed: DataFrame
 
 
 def vocab_update_batch(
@@ -152,13 +177,15 @@ def vocab_update_batch(
     """
     size = vocab.count() if size is None else size
     state = vocab.select("term", "wid", "last_seen", "use_count")
-    looked = materialize(
-        freqs.join(state.select("term", F.col("wid").alias("_wid")), "term", "left"), "lookup"
-    )
+    held = state.select("term", F.col("wid").alias("_wid"), F.col("last_seen").alias("_seen"), F.col("use_count").alias("_uses"))
+    looked = materialize(freqs.join(held, "term", "left"), "lookup")
     known = looked.where(F.col("_wid").isNotNull())
     touched = vocab_touch(state, known, t)
-    held = vocab_use_counts(touched, known.select("term", F.lit(1).alias("step")))
-    step = vocab_add(held, looked.where(F.col("_wid").isNull()), t, capacity, size)
+    pinned = vocab_use_counts(touched, known.select("term", F.lit(1).alias("step")))
+    step = vocab_add(pinned, looked.where(F.col("_wid").isNull()), t, capacity, size)
     released = vocab_use_counts(step.vocab, known.select("term", F.lit(-1).alias("step")))
     term_ids = known.select("term", "freq", F.col("_wid").alias("wid")).unionByName(step.issued)
-    return VocabBatch(released, term_ids, step.issued.where("wid >= 0"), step.evicted, step.size)
+    issued, now = step.issued.where("wid >= 0"), F.lit(t).cast("bigint")
+    seen = known.select("term", F.col("_wid").alias("wid"), F.greatest("_seen", now).alias("last_seen"), F.col("_uses").alias("use_count"))
+    changed = seen.unionByName(issued.select("term", "wid", now.alias("last_seen"), F.lit(0).cast("bigint").alias("use_count")))
+    return VocabBatch(released, term_ids, issued, step.evicted, step.size, changed)
