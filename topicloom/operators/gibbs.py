@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from topicloom.functions import sampling as S
 from topicloom.functions import vectors as V
+from topicloom.operators import shards
 from topicloom.operators.counts import topic_vectors, totals_list
 from topicloom.operators.skew import hot_keys, keyed_join
 from topicloom.params import TopicParams
+from topicloom.storage import materialize
 
 
 def token_uniform(params: TopicParams, sweep: int):
@@ -82,34 +84,43 @@ def token_totals(tokens: DataFrame, k: int) -> list[float]:
 def gibbs_sweep_sync(
     tokens: DataFrame, params: TopicParams, sweep: int, key: str = "wid", vocab_size: int | None = None,
 ) -> DataFrame:
-    """One synchronous sweep with symmetric priors: all tokens against frozen counts."""
-    k = params.num_topics
-    size = tokens.select(key).distinct().count() if vocab_size is None else vocab_size
-    counted = with_counts(tokens, k, key, hot_in(tokens, key), hot_in(tokens, "doc_id"))
-    weight = S.symmetric_weight(
-        F.col("_doc"), F.col("_word"), token_totals(tokens, k), params.alpha, params.beta, size, F.col("topic")
-    )
-    drawn = S.draw_topics(counted, weight, token_uniform(params, sweep), k)
-    return drawn.select("doc_id", "pos", key, "topic")
+    """One synchronous sweep with symmetric priors: all tokens against frozen counts.
+
+    Tokens are packed by document and meet their words' rows a shard at a time: a
+    vector travels once per shard and word, not once per token. ``key`` is a column of ids.
+    """
+    packed = _packed(tokens.withColumnRenamed(key, "wid"), params)
+    words = materialize(shards.packed_counts(packed, params.num_topics), "words")
+    size = words.count() if vocab_size is None else vocab_size
+    smooth = [value + size * float(params.beta) for value in totals_list(words, params.num_topics)]
+    swept = shards.sweep_shards(
+        _based(packed, params), words, smooth, params, fill=float(params.beta), first=sweep, keyed=True)
+    return shards.unpack_tokens(swept).select("doc_id", "pos", F.col("wid").alias(key), "topic")
 
 
 def gibbs_sweep_blended(
-    tokens: DataFrame, model: DataFrame, alpha: list[float], prior_totals: list[float], params: TopicParams,
-    sweep: int, key: str = "term",
+    tokens: DataFrame, model: DataFrame, alpha: list[float], prior_totals: list[float], params: TopicParams, sweep: int,
 ) -> DataFrame:
-    """One synchronous sweep with a model's vectors as priors.
+    """One synchronous sweep with a model's vectors as priors, over tokens with ``wid``; packed rows.
 
-    ``model`` covers every term of ``tokens`` (see ``overlay_unknown_prior``);
-    its rows travel with the word counts, so tokens meet both in one join.
+    ``model`` (wid, n) covers every word of ``tokens`` (see ``overlay_unknown_prior``);
+    its rows and the counts are added up before they travel to the shards.
     """
     k = params.num_topics
-    prior = model.select(key, F.col("n").alias("_prior"))
-    words = topic_vectors(tokens, key, k).withColumnRenamed("n", "_word").join(prior, key)
-    docs = topic_vectors(tokens, "doc_id", k).withColumnRenamed("n", "_doc")
-    counted = keyed_join(tokens, words, key, "inner", hot_in(tokens, key), ("doc_id", "pos"))
-    counted = keyed_join(counted, docs, "doc_id", "inner", hot_in(tokens, "doc_id"), (key, "pos"))
-    weight = S.blended_weight(
-        F.col("_doc"), F.col("_word"), token_totals(tokens, k), alpha, F.col("_prior"), prior_totals, F.col("topic")
-    )
-    drawn = S.draw_topics(counted, weight, token_uniform(params, sweep), k)
-    return drawn.select("doc_id", "pos", key, "topic")
+    packed = _packed(tokens, params)
+    counts = materialize(shards.packed_counts(packed, k), "words")
+    both = model.select("wid", "n").join(counts.select("wid"), "wid", "left_semi").unionByName(counts)
+    words = both.groupBy("wid").agg(V.sum_cells(F.col("n"), k).alias("n"))
+    totals = [x + y for x, y in zip(totals_list(counts, k), prior_totals)]
+    return shards.sweep_shards(_based(packed, params), words, totals, params, first=sweep, keyed=True, alpha=alpha)
+
+
+def _packed(tokens: DataFrame, params: TopicParams) -> DataFrame:
+    number = shards.shard_count(tokens.count(), params)
+    return materialize(shards.pack_segments(tokens, params, number), "packed")
+
+
+def _based(packed: DataFrame, params: TopicParams) -> DataFrame:
+    """Segments of long documents learn the counts of the others."""
+    several = packed.where("seg > 0").limit(1).count() > 0
+    return shards.refresh_base(packed, params) if several else packed

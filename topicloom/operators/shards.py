@@ -26,6 +26,8 @@ from topicloom.params import TopicParams
 # Workers need no copy of this package: the kernel travels with the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+PAIR_ROWS = 100_000  # shards of one word whose rows a task sends; each is a vector
+TOPICS = "shard int, row bigint, topic array<int>"
 PACKED = "shard int, doc_id bigint, seg int, pos array<int>, wid array<bigint>, topic array<int>, base array<double>"
 
 
@@ -83,9 +85,29 @@ def shard_words(packed: DataFrame) -> DataFrame:
     return packed.select(F.col("shard").alias("shard"), F.explode(F.array_distinct("wid")).alias("wid")).distinct()
 
 
-def pull_shard_rows(pairs: DataFrame, model: DataFrame) -> DataFrame:
-    """Model rows (shard, wid, n) each shard of ``shard_words`` needs; words without a row get none."""
-    return pairs.join(model.select("wid", "n"), "wid").select("shard", "wid", "n")
+def salted_words(pairs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``shard_words`` with a ``salt`` column, and the hot words ``(wid, _salts)``; as they are if there are none.
+
+    A word of very many shards would be one task's rows in every exchange; its pairs are cut by shard.
+    """
+    hot = hot_keys(pairs.groupBy("wid").agg(F.count(F.lit(1)).alias("_rows")), "wid", "_rows", min_rows=PAIR_ROWS)
+    if hot is None:
+        return pairs, None
+    salt = F.coalesce(F.pmod(F.xxhash64("shard"), F.col("_salts")), F.lit(0)).cast("int")
+    return pairs.join(F.broadcast(hot), "wid", "left").withColumn("salt", salt).drop("_salts"), hot
+
+
+def pull_shard_rows(pairs: DataFrame, model: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """Model rows (shard, wid, n) each shard of ``shard_words`` needs; words without a row get none.
+
+    With ``hot`` words, for which ``pairs`` are salted, their rows are repeated per salt.
+    """
+    rows = model.select("wid", "n")
+    if hot is None:
+        return pairs.join(rows, "wid").select("shard", "wid", "n")
+    salts = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
+    copies = rows.join(F.broadcast(hot), "wid", "left").select("wid", "n", F.explode(salts).alias("salt"))
+    return pairs.join(copies, ["wid", "salt"]).select("shard", "wid", "n")
 
 
 def _flat(column: pa.ChunkedArray):
@@ -135,9 +157,13 @@ def _lists(values, lengths) -> pa.ListArray:
     return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), values)
 
 
-def _shard_kernel(params: TopicParams, totals: list[float], fill: float, own: bool, sweeps: int, kept: int, first: int):
+def _shard_kernel(
+    params: TopicParams, totals: list[float], fill: float, own: bool, sweeps: int, kept: int, first: int,
+    alpha: list[float] | None = None, only: list[str] | None = None,
+):
     """Arrow function of one shard: (segments, model rows) -> segments with samples."""
-    k, alpha, seed, block = params.num_topics, float(params.alpha), params.seed, params.block_tokens
+    k, seed, block = params.num_topics, params.seed, params.block_tokens
+    start = np.full(k, float(params.alpha)) if alpha is None else np.array(alpha, dtype=float)
 
     def run(key, segments: pa.Table, rows: pa.Table) -> pa.Table:
         segments = segments.sort_by([("doc_id", "ascending"), ("seg", "ascending")])
@@ -146,7 +172,7 @@ def _shard_kernel(params: TopicParams, totals: list[float], fill: float, own: bo
         doc = np.repeat(np.arange(segments.num_rows), lengths)
         words, word = np.unique(wid, return_inverse=True)
 
-        a = np.full((segments.num_rows, k), alpha)
+        a = np.tile(start, (segments.num_rows, 1))
         np.add.at(a, (doc, topic), 1.0)
         for i, base in enumerate(segments["base"].to_pylist()):
             if base is not None:
@@ -176,7 +202,7 @@ def _shard_kernel(params: TopicParams, totals: list[float], fill: float, own: bo
             flat = np.concatenate(samples)[order].astype(np.int32)
             inner = _lists(flat, np.repeat(lengths, kept))
             out = out.append_column("samples", _lists(inner, np.full(segments.num_rows, kept)))
-        return out
+        return out if only is None else out.select(only)
 
     return run
 
@@ -184,7 +210,7 @@ def _shard_kernel(params: TopicParams, totals: list[float], fill: float, own: bo
 def sweep_shards(
     packed: DataFrame, model_rows: DataFrame, totals: list[float], params: TopicParams,
     fill: float = 0.0, own_counts: bool = False, sweeps: int = 1, kept: int = 1, first: int = 1, keyed: bool = False,
-    pairs: DataFrame | None = None,
+    pairs: DataFrame | None = None, hot: DataFrame | None = None, alpha: list[float] | None = None, only_topics: bool = False,
 ) -> DataFrame:
     """Run ``sweeps`` sweeps in every shard from one snapshot of the model.
 
@@ -196,15 +222,20 @@ def sweep_shards(
     ``samples`` column of ``packed`` is passed on as it is). With
     ``keyed`` a sweep draws all tokens from one state of the counts by uniforms
     keyed by (seed, document, position, sweep), the way of ``gibbs_sweep_sync``.
-    ``pairs`` are the saved ``shard_words``, if there are any.
+    ``pairs`` are the saved ``shard_words``, if there are any, and ``hot`` the words they are salted for;
+    ``alpha`` is a vector in place of the parameter. With ``only_topics`` the
+    result is ``(shard, row, topic)``, for segments that have a ``row`` number.
     """
     if keyed:
         uniform = F.transform("pos", lambda p: keyed_uniform(params.seed, F.col("doc_id"), p, first))
         packed = packed.withColumn("u", uniform)
     kept = min(kept, sweeps)
-    kernel = _shard_kernel(params, totals, fill, own_counts, sweeps, kept, first)
-    schema = PACKED + (", samples array<array<int>>" if kept > 1 or "samples" in packed.columns else "")
-    rows = pull_shard_rows(shard_words(packed) if pairs is None else pairs, model_rows)
+    only = ["shard", "row", "topic"] if only_topics else None
+    kernel = _shard_kernel(params, totals, fill, own_counts, sweeps, kept, first, alpha, only)
+    schema = TOPICS if only_topics else PACKED + (", samples array<array<int>>" if kept > 1 or "samples" in packed.columns else "")
+    rows = pull_shard_rows(shard_words(packed) if pairs is None else pairs, model_rows, hot)
+    if only_topics:
+        packed = packed.drop(*([] if keyed else ["pos"]))
     return packed.groupBy("shard").cogroup(rows.groupBy("shard")).applyInArrow(kernel, schema)
 
 

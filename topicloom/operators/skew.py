@@ -2,10 +2,11 @@
 
 Natural text has a few terms in almost every position, so a plain shuffle join
 of tokens on the term sends them all to one task. A key is *hot* when it owns
-at least 1/``SHARE`` of the rows; there cannot be more than ``SHARE`` such keys,
-so the hot list is safe to broadcast by arithmetic. Hot keys are cut into as
-many salts as needed for every (key, salt) to hold at most 1/``SHARE`` of the
-rows, and the matching right rows are repeated per salt: at most 2 x ``SHARE``
+more rows than one task should get: ``MIN_ROWS``, or 1/``SHARE`` of the rows where
+that is more. There cannot be more than ``SHARE`` such keys, so the hot list is
+safe to broadcast by arithmetic. Hot keys are cut into as many salts as needed
+for every (key, salt) to hold at most that many rows, whatever the size of the
+table, and the matching right rows are repeated per salt: at most 2 x ``SHARE``
 extra rows in all.
 """
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SHARE = 1024
+SHARE = 1 << 17
 MIN_ROWS = 1_000_000
 BROADCAST_ROWS = 10_000
 HASH_BYTES = 64 << 20
@@ -26,16 +27,14 @@ def hot_keys(
     """``(key, _salts)`` of the hot keys, or None when there are none.
 
     ``counts`` has one row per key with its row count; best a saved table, since
-    two numbers are taken from it here. ``min_rows`` keeps small inputs out:
-    below it a single task copes anyway.
+    two numbers are taken from it here. ``min_rows`` is what a single task copes
+    with anyway.
     """
     whole, most = counts.agg(F.sum(count), F.max(count)).first()
-    if most is None or most < min_rows or most * share < whole:
+    target = max(min_rows, -(-(whole or 0) // share))
+    if most is None or most < target:
         return None
-    return (
-        counts.where((F.col(count) >= min_rows) & (F.col(count) * share >= whole))
-        .select(key, F.ceil(F.col(count) * F.lit(share) / whole).cast("int").alias("_salts"))
-    )
+    return counts.where(F.col(count) >= target).select(key, F.ceil(F.col(count) / F.lit(target)).cast("int").alias("_salts"))
 
 
 def keyed_join(

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.operators import counts as C
@@ -44,8 +45,9 @@ def fit_distributed(
 
     Per exchange every shard pulls the rows of its words, sweeps its documents in
     order against its own copy, ``sweeps_per_sync`` times over, and the new counts
-    are one aggregation. Which words a shard has never changes and is saved once. Each exchange ends in a saved table, so neither plans nor
-    recovery grow with the number of sweeps. A model handed to ``on_report`` is
+    are one aggregation. What never changes, the segments' words and positions and
+    which words a shard has, is saved once, bucketed by the keys it is met on, so
+    a sweep moves counts and word rows only and writes nothing but topics. A model handed to ``on_report`` is
     valid during the call. ``keyed`` makes every sweep a synchronous one with
     uniforms keyed by token, which SQL can repeat.
     """
@@ -59,37 +61,89 @@ def fit_distributed(
     vocab = Vb.build_vocab_sorted(freqs)
     vocab_size, token_number = freqs.agg(F.count(F.lit(1)), F.coalesce(F.sum("freq"), F.lit(0))).first()
     encoded = gibbs.init_topics_uniform(T.encode_docs(raw, vocab, freqs), params)
-    packed = work.save(
-        shards.pack_segments(encoded, params, shard_number or shards.shard_count(token_number, params)), "start"
-    )
-    several = packed.where("seg > 0").limit(1).count() > 0
-    pairs = work.save(shards.shard_words(packed), "pairs")
-    rows = work.save(shards.packed_counts(packed, k), "rows")
+    layout = ShardLayout(encoded, params, work, shard_number or shards.shard_count(token_number, params))
+    topics = layout.start
+    rows = work.save(shards.packed_counts(layout.packed(topics), k), "rows")
     totals = C.totals_list(rows, k)
 
     def model() -> FittedTopics:
-        return FittedTopics(params, vocab, rows, totals, shards.unpack_tokens(packed), vocab_size)
+        return FittedTopics(params, vocab, rows, totals, shards.unpack_tokens(layout.packed(topics)), vocab_size)
+
+    with _bucketed_joins(spark):
+        sweep = 0
+        while sweep < sweeps:
+            rounds = min(1 if keyed else params.sweeps_per_sync, sweeps - sweep)
+            if on_report:
+                rounds = min(rounds, report_every - sweep % report_every)
+            swept = layout.swept(topics, rows, totals, vocab_size, rounds, sweep + 1, keyed)
+            sweep += rounds
+            old = (topics, rows)
+            topics = layout.save_topics(swept, f"sweep{sweep}")
+            rows = work.save(shards.packed_counts(layout.packed(topics), k), f"rows{sweep}")
+            totals = C.totals_list(rows, k)
+            for table in old:
+                work.drop(table)
+            if on_report and sweep % report_every == 0:
+                on_report(sweep, model())
+    tokens = work.save(layout.packed(topics).drop("base", "row"), "tokens")  # outlives the session's catalog
+    layout.close(topics)
+    return FittedTopics(params, vocab, rows, totals, shards.unpack_tokens(tokens), vocab_size)
+
+
+@contextmanager
+def _bucketed_joins(spark: SparkSession) -> Iterator[None]:
+    """Lets a join on (shard, row) read both sides in their buckets by shard; shards are even by construction."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name, "true")
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+class ShardLayout:
+    """The parts of a sharded corpus that sweeps do not change, bucketed once.
+
+    Segments ``(shard, row, doc_id, seg, pos, wid)`` and topics ``(shard, row, topic)``
+    lie in buckets by shard, pairs ``(shard, wid)`` in buckets by word (and
+    salt, if there are hot words): the joins and the cogroup of a sweep find them in place.
+    """
 
-    sweep = 0
-    while sweep < sweeps:
-        rounds = min(1 if keyed else params.sweeps_per_sync, sweeps - sweep)
-        if on_report:
-            rounds = min(rounds, report_every - sweep % report_every)
+    def __init__(self, encoded: DataFrame, params: TopicParams, work: Workspace, shard_number: int) -> None:
+        self.params, self.work = params, work
+        self.buckets = int(work.spark.conf.get("spark.sql.shuffle.partitions"))
+        packed = shards.pack_segments(encoded, params, shard_number).withColumn("row", F.monotonically_increasing_id())
+        packed = work.save(packed, "start")
+        self.several = packed.where("seg > 0").limit(1).count() > 0
+        self.segments = work.save_bucketed(packed.select("shard", "row", "doc_id", "seg", "pos", "wid"), "segments", ["shard"], self.buckets)
+        self.start = work.save_bucketed(packed.select("shard", "row", "topic"), "topics", ["shard"], self.buckets)
+        words = work.save(shards.shard_words(packed), "words")
+        pairs, self.hot = shards.salted_words(words)
+        if self.hot is not None:
+            self.hot = work.save(self.hot, "hot")
+        self.pairs = work.save_bucketed(pairs, "pairs", [c for c in ("wid", "salt") if c in pairs.columns], self.buckets)
+        work.drop(packed)
+
+    def packed(self, topics: DataFrame) -> DataFrame:
+        """Whole packed rows, with ``row``."""
+        return self.segments.join(topics, ["shard", "row"]).withColumn("base", F.lit(None).cast("array<double>"))
+
+    def swept(self, topics: DataFrame, rows: DataFrame, totals: list[float], vocab_size: int, sweeps: int, first: int, keyed: bool) -> DataFrame:
+        """``(shard, row, topic)`` after so many sweeps from one exchange."""
+        params, packed = self.params, self.packed(topics)
         smooth = [value + vocab_size * params.beta for value in totals]
-        source = shards.refresh_base(packed, params) if several else packed
-        swept = shards.sweep_shards(
-            source, rows, smooth, params, fill=float(params.beta), sweeps=rounds, first=sweep + 1, keyed=keyed, pairs=pairs
-        )
-        sweep += rounds
-        old = (packed, rows)
-        packed = work.save(swept, f"sweep{sweep}")
-        rows = work.save(shards.packed_counts(packed, k), f"rows{sweep}")
-        totals = C.totals_list(rows, k)
-        for table in old:
-            work.drop(table)
-        if on_report and sweep % report_every == 0:
-            on_report(sweep, model())
-    return model()
+        source = shards.refresh_base(packed, params) if self.several else packed
+        return shards.sweep_shards(
+            source, rows, smooth, params, fill=float(params.beta), sweeps=sweeps, first=first, keyed=keyed,
+            pairs=self.pairs, hot=self.hot, only_topics=True)
+
+    def save_topics(self, swept: DataFrame, label: str) -> DataFrame:
+        return self.work.save_bucketed(swept, label, ["shard"], self.buckets, placed=True)
+
+    def close(self, topics: DataFrame) -> None:
+        for table in (self.segments, self.pairs, topics):
+            self.work.drop(table)
 
 
 def fit_batch(

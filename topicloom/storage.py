@@ -52,6 +52,7 @@ class Workspace:
         self.path = f"{root or shared_root(spark)}/work-{uuid.uuid4().hex}"
         self._serial = 0
         self._paths: dict[int, tuple[DataFrame, str]] = {}
+        self._named: dict[str, str] = {}
 
     def __enter__(self) -> Workspace:
         self._token = _open.set(self)
@@ -59,6 +60,8 @@ class Workspace:
 
     def __exit__(self, *exc) -> None:
         _open.reset(self._token)
+        for name in self._named.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         remove_path(self.spark, self.path)
 
     def new_path(self, label: str) -> str:
@@ -73,9 +76,25 @@ class Workspace:
         self._paths[id(table)] = (table, path)
         return table
 
+    def save_bucketed(self, df: DataFrame, label: str, keys: list[str], buckets: int, placed: bool = False) -> DataFrame:
+        """Write ``df`` once in ``buckets`` by ``keys``; joins and groups by these keys read it without an exchange.
+
+        The buckets are known to the session's catalog only; :meth:`drop` takes the
+        table out again. ``placed`` says that each task holds whole buckets already.
+        """
+        path, name = self.new_path(label), f"topicloom_{uuid.uuid4().hex}"
+        rows = df if placed else df.repartition(buckets, *keys)
+        rows.write.format("parquet").bucketBy(buckets, *keys).option("path", path).saveAsTable(name)
+        table = self.spark.table(name)
+        self._paths[id(table)] = (table, path)
+        self._named[path] = name
+        return table
+
     def drop(self, table: DataFrame) -> None:
         """Delete a table this workspace saved (superseded sweeps would pile up)."""
         _, path = self._paths.pop(id(table))
+        if path in self._named:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._named.pop(path)}")
         remove_path(self.spark, path)
 
 
