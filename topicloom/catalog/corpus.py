@@ -10,6 +10,7 @@ from topicloom.catalog.registry import (
     table, talk_tokens, talks, vocab_sql, with_sql, PARAMS, K,
 )
 from topicloom.functions.sampling import keyed_uniform
+from topicloom.functions.segmenters import WORDS, pattern_segmenter
 from topicloom.functions.text import json_terms, letter_terms, single_line, whitespace_terms
 from topicloom.operators import tokens as T
 from topicloom.operators.vocab import build_vocab_sorted
@@ -100,8 +101,8 @@ def write_text(spark, sf):
         "batch_id", single_line(F.col("text")).alias("line")
     )
     lines = materialize(lines, "lines")  # the texts are read once, not once per batch
-    for batch in range(BATCHES):
-        write(lines.where(F.col("batch_id") == batch).select("batch_id", "line"), batch)
+    for (batch,) in lines.select("batch_id").distinct().collect():  # BATCHES of them, and one of rows without an id
+        write(lines.where(F.col("batch_id").eqNullSafe(batch)).select("batch_id", "line"), "__HIVE_DEFAULT_PARTITION__" if batch is None else batch)
     return spark.read.text(out).select("batch_id", F.col("value").alias("line"))
 
 
@@ -208,6 +209,16 @@ def formatter_plugin(spark, sf):
     return T.token_table(lines, json_terms(letter_terms), text="line")
 
 
+@query(
+    "segmenter_plugin",
+    "SELECT doc_id, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS pos, unnest(t) AS term FROM"
+    f" (SELECT doc_id, regexp_extract_all(text, '{WORDS.replace(chr(39), chr(39) * 2)}') AS t FROM documents)",
+)
+def segmenter_plugin(spark, sf):
+    """A segmenter in Python, over Arrow batches, in the place of a column function."""
+    return T.token_table(docs(spark, sf), pattern_segmenter())
+
+
 @query("reader_plugin", with_sql(TALK_TOKENS) + "SELECT doc_id, pos, term FROM talk")
 def reader_plugin(spark, sf):
     """Any callable giving (doc_id, text) is a reader; here every conversation turn is a document."""

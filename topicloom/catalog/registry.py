@@ -87,9 +87,9 @@ def encoded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def chunk_of(spark: SparkSession, sf: str) -> int:
-    """Chunk size that cuts the documents into ``BATCHES`` batches."""
+    """Chunk size that cuts the documents into ``BATCHES`` batches; 1 without documents."""
     last = table(spark, sf, "documents").agg(F.max("doc_id")).first()[0]
-    return (last + BATCHES) // BATCHES
+    return 1 if last is None else max((last + BATCHES) // BATCHES, 1)
 
 
 def batched(spark: SparkSession, sf: str) -> DataFrame:
