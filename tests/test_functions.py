@@ -1,12 +1,14 @@
 """Column functions and the small numeric cases of the blueprint."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from topicloom.functions import sampling as S
 from topicloom.functions import vectors as V
+from topicloom.functions.segmenters import dictionary_segmenter, longest_matches, pattern_segmenter
 from topicloom.functions.text import json_terms, letter_terms, single_line, whitespace_terms
 from topicloom.operators import counts as C
 from topicloom.operators import decay, quality
@@ -136,3 +138,39 @@ def test_count_vectors_of_many_topics_equal_the_unrolled_form(spark, monkeypatch
         with monkeypatch.context() as patch:
             patch.setattr(V, "UNROLL", 4)
             assert V.count_vectors(df, ["doc_id"], 10, weight).orderBy("doc_id").collect() == unrolled
+
+
+def test_python_segmenters_plug_in(spark):
+    docs = spark.createDataFrame([(1, "l'été, well-known x1 -a-"), (2, None), (3, "")], "doc_id int, text string")
+    got = T.token_table(docs, pattern_segmenter()).orderBy("doc_id", "pos").collect()
+    assert [(r.doc_id, r.pos, r.term) for r in got] == [(1, 0, "l'été"), (1, 1, "well-known"), (1, 2, "x"), (1, 3, "a")]
+    cut = T.token_table(spark.createDataFrame([(1, "中国人民银行 a b")], "doc_id int, text string"), dictionary_segmenter(["中国", "人民", "中国人民", "银行"]))
+    assert [r.term for r in cut.orderBy("pos").collect()] == ["中国人民", "银行", "a", "b"]
+
+
+def test_longest_matches_against_every_cut():
+    rng = random.Random(1)
+    words = frozenset("".join(rng.choices("ab", k=rng.randint(2, 4))) for _ in range(6))
+    for _ in range(200):
+        text = "".join(rng.choices("ab ", k=rng.randint(0, 12)))
+        want = []
+        for run in text.split():
+            while run:
+                best = max([w for w in words if run.startswith(w)], key=len, default=run[0])
+                want.append(best)
+                run = run[len(best) :]
+        assert longest_matches(text, words, 4) == want
+
+
+def test_large_dictionaries_are_refused(monkeypatch):
+    monkeypatch.setattr("topicloom.functions.segmenters.DICTIONARY_WORDS", 2)
+    with pytest.raises(ValueError, match="too large"):
+        dictionary_segmenter(["a", "b", "c"])
+
+
+def test_salts_hold_a_bounded_number_of_rows_at_any_size(spark):
+    """A key with 5 x 10^11 of 10^13 rows is cut to what a task copes with."""
+    counts = spark.createDataFrame([(1, 5 * 10**11), (2, 10**13 - 5 * 10**11 - 10), (3, 10)], "wid bigint, cnt bigint")
+    salts = {r.wid: r._salts for r in hot_keys(counts, "wid", "cnt").collect()}
+    assert set(salts) == {1, 2} and 5 * 10**11 / salts[1] < 10**8
+    assert sum(salts.values()) <= 2 * (1 << 17)

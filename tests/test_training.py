@@ -96,6 +96,43 @@ def test_counts_are_exchanged_every_sweep_unless_asked(spark, planted, monkeypat
     assert calls == [2, 1]
 
 
+def test_a_sweep_moves_word_rows_only(spark, planted, monkeypatch):
+    """From the second sweep on: no exchange of pairs or segments, just of the model's rows, to the pairs and to the shards."""
+    plans, sweep_shards = [], shards.sweep_shards
+
+    def seen(*args, **rest):
+        swept = sweep_shards(*args, **rest)
+        plans.append(swept._jdf.queryExecution().executedPlan().toString())
+        return swept
+
+    monkeypatch.setattr(shards, "sweep_shards", seen)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        model = batch.fit_distributed(planted, PARAMS, sweeps=2)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = [line.split("Exchange ")[1].split(",")[0] for line in plans[1].splitlines() if "Exchange " in line]
+    assert [m.split("#")[0] for m in moved] == ["hashpartitioning(shard", "hashpartitioning(wid"], plans[1]
+    assert plans[1].count("Bucketed: true") == 3
+    assert not any(t.name.startswith("topicloom_") for t in spark.catalog.listTables())
+    assert rows_of(C.topic_vectors(model.tokens, "wid", 2)) == rows_of(model.rows)
+
+
+def test_a_word_of_every_shard_is_split(spark, planted, monkeypatch):
+    """Salted pairs give the shards the same rows, and no (word, salt) has more pairs than allowed."""
+    tokens = T.token_table(planted).withColumn("wid", F.ascii("term").cast("bigint")).drop("term")
+    packed = materialize(shards.pack_segments(gibbs.init_topics_uniform(tokens, PARAMS), PARAMS, 40), "packed")
+    pairs, rows = materialize(shards.shard_words(packed), "pairs"), materialize(shards.packed_counts(packed, 2), "rows")
+    monkeypatch.setattr(shards, "PAIR_ROWS", 4)
+    salted, hot = shards.salted_words(pairs)
+    assert hot.count() == 16
+    spread = salted.groupBy("wid", "salt").count().agg(F.max("count"), F.count("*")).first()
+    assert spread[0] < 10 and spread[1] > 40
+    assert rows_of(shards.pull_shard_rows(salted, rows, hot)) == rows_of(shards.pull_shard_rows(pairs, rows))
+    plain, none = shards.salted_words(pairs.where("shard < 3"))
+    assert none is None and rows_of(shards.pull_shard_rows(plain, rows)) == rows_of(shards.pull_shard_rows(pairs.where("shard < 3"), rows))
+
+
 def test_segments_see_each_other_between_inner_sweeps(spark, planted, monkeypatch):
     work, k = Workspace(spark), 2
     tokens = work.save(T.token_table(planted).withColumn("wid", F.ascii("term").cast("bigint")).drop("term"), "tokens")
@@ -129,6 +166,21 @@ def test_synchronous_sweep_keeps_tokens(spark, planted):
     assert rows_of(swept) == rows_of(gibbs.gibbs_sweep_sync(start, PARAMS, 1))
 
 
+def test_vectors_travel_once_per_shard_and_word(spark, planted):
+    """The sweep shuffles no vector per token: its bytes hardly grow with the number of topics."""
+    tokens = T.token_table(planted).withColumn("wid", F.ascii("term").cast("bigint")).drop("term")
+    sent = {}
+    for k in (10, 200):
+        params = replace(PARAMS, num_topics=k, tokens_per_shard=100_000)
+        start = materialize(gibbs.init_topics_uniform(tokens, params), "start")
+        packed = gibbs._packed(start, params)
+        words = materialize(shards.packed_counts(packed, k), "words")
+        sent[k] = shards.pull_shard_rows(shards.shard_words(packed), words).count() * k
+        swept = gibbs.gibbs_sweep_sync(start, params, 1)
+        assert swept.count() == tokens.count() and swept.where(f"topic < 0 or topic >= {k}").count() == 0
+    assert sent[200] * 8 < tokens.count() * 200 / 10  # cells sent, against one vector for each token
+
+
 def test_online_model_grows_and_forgets(spark, planted):
     one, two = planted.where("doc_id % 2 = 0"), planted.where("doc_id % 2 = 1")
     kept = online.fit_online([T.token_table(one), T.token_table(two)], PARAMS)
