@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from topicloom.functions import vectors as V
 from topicloom.operators import counts as C
 from topicloom.operators import gibbs, quality, shards
 from topicloom.operators import tokens as T
@@ -166,19 +167,22 @@ def test_synchronous_sweep_keeps_tokens(spark, planted):
     assert rows_of(swept) == rows_of(gibbs.gibbs_sweep_sync(start, PARAMS, 1))
 
 
-def test_vectors_travel_once_per_shard_and_word(spark, planted):
-    """The sweep shuffles no vector per token: its bytes hardly grow with the number of topics."""
+def test_sweeps_in_shards_draw_the_same_topics(spark, planted, monkeypatch):
+    """And they send one vector per shard and word in place of one per token and join."""
     tokens = T.token_table(planted).withColumn("wid", F.ascii("term").cast("bigint")).drop("term")
-    sent = {}
-    for k in (10, 200):
-        params = replace(PARAMS, num_topics=k, tokens_per_shard=100_000)
-        start = materialize(gibbs.init_topics_uniform(tokens, params), "start")
-        packed = gibbs._packed(start, params)
-        words = materialize(shards.packed_counts(packed, k), "words")
-        sent[k] = shards.pull_shard_rows(shards.shard_words(packed), words).count() * k
-        swept = gibbs.gibbs_sweep_sync(start, params, 1)
-        assert swept.count() == tokens.count() and swept.where(f"topic < 0 or topic >= {k}").count() == 0
-    assert sent[200] * 8 < tokens.count() * 200 / 10  # cells sent, against one vector for each token
+    params = replace(PARAMS, tokens_per_shard=700)
+    start = materialize(gibbs.init_topics_uniform(tokens, params), "start")
+    assert rows_of(gibbs.sync_in_shards(start, params, 1)) == rows_of(gibbs.gibbs_sweep_sync(start, params, 1))
+    packed = gibbs._packed(start, params)
+    assert 8 * shards.shard_words(packed).count() < tokens.count()
+    cut = replace(params, segment_tokens=8)
+    assert rows_of(gibbs.sync_in_shards(start, cut, 1)) == rows_of(gibbs.gibbs_sweep_sync(start, params, 1))
+    batches = [T.token_table(planted.where(f"doc_id % 2 = {i}")) for i in (0, 1)]
+    narrow = online.fit_online(batches, params)
+    monkeypatch.setattr(V, "UNROLL", 1)
+    wide = online.fit_online(batches, params)
+    assert rows_of(narrow.rows) == rows_of(wide.rows) and narrow.alpha == wide.alpha
+    assert gibbs.gibbs_sweep_sync(start, params, 1).count() == tokens.count()
 
 
 def test_online_model_grows_and_forgets(spark, planted):

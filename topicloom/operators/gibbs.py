@@ -86,8 +86,27 @@ def gibbs_sweep_sync(
 ) -> DataFrame:
     """One synchronous sweep with symmetric priors: all tokens against frozen counts.
 
-    Tokens are packed by document and meet their words' rows a shard at a time: a
-    vector travels once per shard and word, not once per token. ``key`` is a column of ids.
+    Up to ``V.UNROLL`` topics tokens meet the short vectors in joins, and the draw is
+    compiled; beyond that see :func:`sync_in_shards`. The topics are the same.
+    """
+    k = params.num_topics
+    if k > V.UNROLL:
+        return sync_in_shards(tokens, params, sweep, key, vocab_size)
+    size = tokens.select(key).distinct().count() if vocab_size is None else vocab_size
+    counted = with_counts(tokens, k, key, hot_in(tokens, key), hot_in(tokens, "doc_id"))
+    weight = S.symmetric_weight(
+        F.col("_doc"), F.col("_word"), token_totals(tokens, k), params.alpha, params.beta, size, F.col("topic")
+    )
+    drawn = S.draw_topics(counted, weight, token_uniform(params, sweep), k)
+    return drawn.select("doc_id", "pos", key, "topic")
+
+
+def sync_in_shards(
+    tokens: DataFrame, params: TopicParams, sweep: int, key: str = "wid", vocab_size: int | None = None,
+) -> DataFrame:
+    """The same sweep over tokens packed by document, which meet their words' rows a shard at a time.
+
+    A vector travels once per shard and word, not once per token. ``key`` is a column of ids.
     """
     packed = _packed(tokens.withColumnRenamed(key, "wid"), params)
     words = materialize(shards.packed_counts(packed, params.num_topics), "words")
@@ -99,12 +118,34 @@ def gibbs_sweep_sync(
 
 
 def gibbs_sweep_blended(
+    tokens: DataFrame, model: DataFrame, alpha: list[float], prior_totals: list[float], params: TopicParams,
+    sweep: int, key: str = "term",
+) -> DataFrame:
+    """One synchronous sweep with a model's vectors as priors.
+
+    ``model`` covers every term of ``tokens`` (see ``overlay_unknown_prior``);
+    its rows travel with the word counts, so tokens meet both in one join. For many topics
+    see :func:`blended_in_shards`.
+    """
+    k = params.num_topics
+    prior = model.select(key, F.col("n").alias("_prior"))
+    words = topic_vectors(tokens, key, k).withColumnRenamed("n", "_word").join(prior, key)
+    docs = topic_vectors(tokens, "doc_id", k).withColumnRenamed("n", "_doc")
+    counted = keyed_join(tokens, words, key, "inner", hot_in(tokens, key), ("doc_id", "pos"))
+    counted = keyed_join(counted, docs, "doc_id", "inner", hot_in(tokens, "doc_id"), (key, "pos"))
+    weight = S.blended_weight(
+        F.col("_doc"), F.col("_word"), token_totals(tokens, k), alpha, F.col("_prior"), prior_totals, F.col("topic")
+    )
+    drawn = S.draw_topics(counted, weight, token_uniform(params, sweep), k)
+    return drawn.select("doc_id", "pos", key, "topic")
+
+
+def blended_in_shards(
     tokens: DataFrame, model: DataFrame, alpha: list[float], prior_totals: list[float], params: TopicParams, sweep: int,
 ) -> DataFrame:
-    """One synchronous sweep with a model's vectors as priors, over tokens with ``wid``; packed rows.
+    """The same sweep over tokens with ``wid``, as packed rows; no vector travels per token.
 
-    ``model`` (wid, n) covers every word of ``tokens`` (see ``overlay_unknown_prior``);
-    its rows and the counts are added up before they travel to the shards.
+    The rows of ``model`` (wid, n) and the counts are added up before they go to the shards.
     """
     k = params.num_topics
     packed = _packed(tokens, params)

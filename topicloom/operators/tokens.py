@@ -69,9 +69,10 @@ def encode_docs(tokens: DataFrame, vocab: DataFrame, freqs: DataFrame | None = N
     return keyed_join(tokens, ids, "term", "inner", hot, ("doc_id", "pos")).drop("term")
 
 
-def decode_docs(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Token table with ``term`` in place of ``wid``."""
-    hot = hot_keys(tokens.groupBy("wid").agg(F.count(F.lit(1)).alias("cnt")), "wid", "cnt")
+def decode_docs(tokens: DataFrame, vocab: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Token table with ``term`` in place of ``wid``; ``counts`` (wid, freq) are taken here if not given."""
+    found = tokens.groupBy("wid").agg(F.count(F.lit(1)).alias("freq")) if counts is None else counts
+    hot = hot_keys(found, "wid", "freq")
     return keyed_join(tokens, vocab.select("term", "wid"), "wid", "inner", hot, ("doc_id", "pos")).drop("wid")
 
 
