@@ -1,9 +1,13 @@
 """Near-duplicate documents and repeated passages against brute force."""
 
+import random
+
+import numpy as np
 import pytest
 from fixtures import corpus, long_text
 
 import brute
+from topicloom.llm import minhash
 from topicloom.llm.graph import components
 from topicloom.llm.minhash import near_duplicates
 from topicloom.llm.substrings import without_repeats
@@ -56,3 +60,41 @@ def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(200, 260)] + [(5, 5), (None, 3), (8, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {i: 100 for i in range(100, 141)} | {i: 7 for i in range(200, 260)} | {7: 7, 8: 7}
+
+
+def test_parity_never_exceeds_the_difference():
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 5, 300, 9000):
+        a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 2**63, size // 9, dtype=np.uint64)]))
+        turned = sum(int(x).bit_count() for x in (minhash.parity(a) ^ minhash.parity(b)).view(np.uint64))
+        differ = len(np.setxor1d(a, b))
+        assert turned <= differ and (differ > 100 or turned >= 0.9 * differ)
+
+
+def test_pairs_of_copies_below_the_threshold_grow_with_the_group(spark, monkeypatch):
+    """Each its own component, all alike: few pairs reach the full sets, and links between some of them are found."""
+    rng, sent, confirmed = random.Random(5), [], minhash._confirmed
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    base = words(400)
+
+    def copy():
+        w = list(base)
+        for at in range(rng.randrange(60), 400, 60):  # seven edits, 35 of 396 shingles
+            w[at] = words(1)[0]
+        return " ".join(w)
+
+    def counted(pairs, sets):
+        sent.append(pairs.count())
+        return confirmed(pairs, sets)
+
+    monkeypatch.setattr(minhash, "_confirmed", counted)
+    docs, total = [], {}
+    for n in (100, 200, 400):
+        docs += [(d, copy()) for d in range(len(docs), n)]
+        sent.clear()
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(frame(spark, docs)).collect()}
+        total[n] = sum(sent)
+        if n == 100:
+            assert got == brute.near_duplicates(docs)
+    assert total[400] <= 6 * total[100] + 400, total

@@ -16,8 +16,11 @@ A document's set holds its distinct shingles of ``SHINGLE`` lower-cased words
    the bucket, so one filled by a group of near copies makes few pairs or none.
 5. A pair leaves its bucket only if its sizes allow the threshold and the
    similarity estimated from the signatures, corrected for chance agreement of two
-   bits, is not under ``PERCENT`` by more than six standard errors. Links are
-   confirmed on full sets.
+   bits, is not under ``PERCENT`` by more than six standard errors. Pairs of stage 4,
+   which in a group of copies just below the threshold would be almost all pairs,
+   must also pass a bound that is exact: every shingle that one set alone holds turns
+   one of ``PARITY`` bits, so two sets differ in at least as many shingles as parity
+   bits. Links are confirmed on full sets.
 
 Every pair of a bucket is thus either compared or already in one component. A
 pair exactly at the threshold misses all 34 bands of 6 with probability 1e-7.
@@ -50,6 +53,7 @@ ROWS = 6
 BITS = 2
 LONGS = -(-BANDS * ROWS * BITS // 64)
 LANES = 64 // BITS
+PARITY = 2048
 STEP = 0.17  # of the logarithm of set sizes; over -log(PERCENT / 100)
 
 _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64))
@@ -82,13 +86,19 @@ def packed(low: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(lanes.reshape(LONGS, LANES) << places, axis=1)
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Per slot of a set's hashes whether it holds an odd number, packed into longs."""
+    odd = np.bincount(((shingles >> np.uint64(16)) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def band_keys(low: np.ndarray) -> np.ndarray:
     return mix((mix(low).reshape(BANDS, ROWS) * _WEIGHTS).sum(axis=1, dtype=np.uint64) + _BAND_SALTS)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, sizes, digests, bands, bits = [], [], [], [], []
+        ids, sizes, digests, bands, bits, odd = [], [], [], [], [], []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
             shingles = shingle_set(text.as_py())
             ids.append(doc_id)
@@ -97,10 +107,11 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low = minima(shingles)
             bands.append(band_keys(low).view(np.int64))
             bits.append(packed(low).view(np.int64))
+            odd.append(parity(shingles))
         yield pa.record_batch({
             "doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array(sizes, pa.int64()),
             "digest": pa.array(digests, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64())),
-            "bits": pa.array(bits, pa.list_(pa.int64())),
+            "bits": pa.array(bits, pa.list_(pa.int64())), "parity": pa.array(odd, pa.list_(pa.int64())),
         })
 
 
@@ -112,10 +123,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, digest, bands, bits)`` per document."""
+    """``(doc_id, n_shingles, digest, bands, bits, parity)`` per document."""
     source = spread(docs.select(F.col("doc_id").cast("bigint"), "text"), "doc_id")
     return source.mapInArrow(
-        _signatures, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, bits array<bigint>"
+        _signatures, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, bits array<bigint>, parity array<bigint>"
     )
 
 
@@ -151,7 +162,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     copies = known.join(first, "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     classes = materialize(
         known.join(first.withColumnRenamed("node", "doc_id"), ["digest", "doc_id"], "left_semi")
-        .select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands", "bits"), "classes")
+        .select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands", "bits", "parity"), "classes")
 
     members = classes.select("node", F.explode("bands").alias("bucket")).distinct()
     full = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).where("size > 1")
@@ -170,7 +181,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     again = links(_around(placed.join(most, "bucket").where("component <> most"), most.select("bucket", F.col("most").alias("b")), classes))
     found = stars.union(again)
     placed = materialize(_placed(held, components(found)), "placed")
-    rest = links(_across(placed.join(_largest(placed), "bucket")))
+    contested = placed.join(_largest(placed), "bucket").join(classes.select("node", "bits", "parity"), ["node", "bits"])
+    rest = links(_across(contested))
     labels = components(found.union(rest).union(copies))
     component = F.coalesce("component", "doc_id")
     return (
@@ -197,12 +209,18 @@ def _across(members: DataFrame) -> DataFrame:
     held = members.withColumn("step", F.floor(F.log("n") / STEP))
     x = held.where("component <> most").select(
         "bucket", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"),
-        F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+        F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"), F.col("parity").alias("parity_a"))
     y = held.select(
         "bucket", "step", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("n_b"),
-        F.col("bits").alias("bits_b"), "most")
+        F.col("bits").alias("bits_b"), F.col("parity").alias("parity_b"), "most")
     apart = "ca <> cb and (cb = most or a > b)"
-    return x.join(y, ["bucket", "step"]).where(apart).where(_allowed()).select("a", "b")
+    return x.join(y, ["bucket", "step"]).where(apart).where(_allowed()).where(_near()).select("a", "b")
+
+
+def _near():
+    """Whether parity leaves the threshold possible: J >= p means a difference of at most (1 - p) / (1 + p) of both sizes."""
+    turned = F.aggregate(F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return turned * (100 + PERCENT) <= (F.col("n_a") + F.col("n_b")) * (100 - PERCENT)
 
 
 def _allowed():
