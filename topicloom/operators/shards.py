@@ -153,6 +153,93 @@ def _sweep(word, doc, topic, a, b, t, rng, block, uniforms=None):
     return drawn
 
 
+class _WordProposal:
+    """Topics drawn from each word's counts as they are now, ``fill`` in every cell included and the token itself left out.
+
+    Counts are kept as a sparse running sum over all words, so building it costs a pass over the cells and a draw a binary search.
+    """
+
+    def __init__(self, b, fill: float) -> None:
+        words, self.k = b.shape
+        self.fill, self.cells = fill, b.copy()
+        flat = self.cells.reshape(-1)
+        self.at = np.flatnonzero(flat > fill)
+        self.sums = np.concatenate([[0.0], np.cumsum(flat[self.at] - fill)])
+        self.first = np.searchsorted(self.at, np.arange(words + 1) * self.k)
+
+    def draw(self, word, own, u):
+        """``own`` are the topics the tokens are counted under."""
+        low, high = self.first[word], self.first[word + 1]
+        mass = self.sums[high] - self.sums[low] - 1.0
+        mark = u * (mass + self.k * self.fill)
+        own_end = self.sums[np.searchsorted(self.at, word * self.k + own) + 1]
+        place = self.sums[low] + mark
+        place = np.where(place >= own_end - 1.0, place + 1.0, place)  # over the token's own count
+        found = np.clip(np.searchsorted(self.sums, place, "right") - 1, low, high - 1)
+        even = np.clip((mark - mass) / max(self.fill, 1e-300), 0, self.k - 1).astype(np.int64)
+        return np.where(mark < mass, self.at[found] % self.k, even) if self.fill > 0 else self.at[found] % self.k
+
+    def chance(self, word, own, x):
+        """What ``x`` is drawn in proportion to."""
+        return self.cells[word, x] - (x == own)
+
+
+def _sweep_mh(word, doc, topic, a, base, alpha, b, t, rng, block, steps, fill, rebuild=None):
+    """Resample every token once by ``steps`` Metropolis-Hastings steps; work per token does not depend on the topics.
+
+    Proposals take turns: from the word's counts, and from the document's (the topic
+    of another token of it, or one by ``alpha``). Neither counts the token itself, so
+    a token's draw leaves what ``_sweep`` draws from as it is. Document counts are those at
+    the block's start, the words' those of ``rebuild`` tokens ago at most (by default the sweep's start).
+    ``base`` are counts of other segments in ``a``, or None.
+    """
+    k, rebuild = len(t), rebuild or len(topic)
+    starts = np.searchsorted(doc, np.arange(len(a) + 1))
+    sizes, prior = np.diff(starts) - 1, np.cumsum(alpha)
+    drawn, words, built = topic.copy(), None, 0
+    for start in range(0, len(topic), block):
+        stop = min(start + block, len(topic))
+        if words is None or start - built >= rebuild:
+            words, built = _WordProposal(b, fill), start
+        w, d, z = word[start:stop], doc[start:stop], topic[start:stop]
+        here = np.arange(start, stop)
+
+        def target(x):
+            own = x == z
+            return (a[d, x] - own) * (b[w, x] - own) / (t[x] - own)
+
+        def by_document(x):
+            return a[d, x] - (x == z) - (0.0 if base is None else base[d, x])
+
+        def by_word(x):
+            return words.chance(w, z, x)
+
+        now, weight = z.astype(np.int64), target(z)
+        for step in range(steps):
+            u, accept = rng.random((2, stop - start))
+            if step % 2 == 0:
+                new, chance = words.draw(w, z, u), by_word
+            else:
+                mark, size = u * (sizes[d] + prior[-1]), sizes[d]
+                token = starts[d] + np.minimum(mark, np.maximum(size - 1, 0)).astype(np.int64)
+                token = np.where((token >= here) & (size > 0), token + 1, token)  # another token than this one
+                spare = np.minimum(np.searchsorted(prior, mark - size, "right"), k - 1)
+                new, chance = np.where(mark < size, drawn[token], spare), by_document
+            offered = target(new)
+            taken = accept * weight * chance(new) < offered * chance(now)
+            now, weight = np.where(taken, new, now), np.where(taken, offered, weight)
+        new = now.astype(topic.dtype)
+        moved = np.flatnonzero(new != z)
+        x, y = z[moved], new[moved]
+        np.subtract.at(a, (d[moved], x), 1.0)
+        np.add.at(a, (d[moved], y), 1.0)
+        np.subtract.at(b, (w[moved], x), 1.0)
+        np.add.at(b, (w[moved], y), 1.0)
+        t += np.bincount(y, minlength=k) - np.bincount(x, minlength=k)
+        drawn[start:stop] = new
+    return drawn
+
+
 def _lists(values, lengths) -> pa.ListArray:
     return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), values)
 
@@ -174,9 +261,13 @@ def _shard_kernel(
 
         a = np.tile(start, (segments.num_rows, 1))
         np.add.at(a, (doc, topic), 1.0)
+        others = None
         for i, base in enumerate(segments["base"].to_pylist()):
             if base is not None:
-                a[i] += base
+                others = np.zeros_like(a) if others is None else others
+                others[i] = base
+        if others is not None:
+            a += others
         b = np.full((len(words), k), fill)
         if rows.num_rows:
             b[np.searchsorted(words, rows["wid"].to_numpy())] += _flat(rows["n"])[0].reshape(-1, k)
@@ -192,7 +283,10 @@ def _shard_kernel(
         samples = []
         for sweep in range(first, first + sweeps):
             rng = np.random.Generator(np.random.Philox(key=[seed, (int(key[0].as_py()) << 20) + sweep]))
-            topic = _sweep(word, doc, topic, a, b, t, rng, block if uniforms is None else len(topic), uniforms)
+            if params.sampler == "mh" and uniforms is None:
+                topic = _sweep_mh(word, doc, topic, a, others, start, b, t, rng, block, params.mh_steps, fill)
+            else:
+                topic = _sweep(word, doc, topic, a, b, t, rng, block if uniforms is None else len(topic), uniforms)
             if sweep >= first + sweeps - kept and kept > 1:
                 samples.append(topic)
         out = segments.set_column(segments.schema.get_field_index("topic"), "topic", _lists(topic, lengths))

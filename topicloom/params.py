@@ -17,7 +17,9 @@ class TopicParams:
     counts (by default, and in the reference, counts are exchanged after every
     sweep), and ``block_tokens`` tokens are drawn from one state of the counts (1
     is the plain sequential sampler). A document longer than ``segment_tokens`` is
-    swept in segments, each with the others' counts as of the last exchange.
+    swept in segments, each with the others' counts as of the last exchange. ``sampler``
+    is ``"gibbs"``, whose work per token grows with the topics, or ``"mh"``: ``mh_steps``
+    Metropolis-Hastings steps per token and sweep, whose work does not.
     """
 
     # Defaults of the reference's option objects.
@@ -38,18 +40,22 @@ class TopicParams:
     segment_tokens: int = 65_536
     block_tokens: int = 2_048
     sweeps_per_sync: int = 1
+    sampler: str = "gibbs"
+    mh_steps: int = 4
 
     def __post_init__(self) -> None:
         positive = (
             "num_topics", "batch_iterations", "iterations", "vocab_capacity", "duration",
             "kept_samples", "top_words", "tokens_per_shard",
-            "segment_tokens", "block_tokens", "sweeps_per_sync",
+            "segment_tokens", "block_tokens", "sweeps_per_sync", "mh_steps",
         )
         for name in positive:
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be at least 1, got {getattr(self, name)}")
         if self.alpha < 0 or self.beta < 0:
             raise ValueError("alpha and beta must not be negative")
+        if self.sampler not in ("gibbs", "mh"):
+            raise ValueError(f"sampler is 'gibbs' or 'mh', not {self.sampler!r}")
         if not 0.0 <= self.rate <= 1.0:
             raise ValueError(f"rate must lie in [0, 1], got {self.rate}")
 
