@@ -32,7 +32,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from topicloom.llm.columns import bundle, hash_of, others, unbundled
 from topicloom.llm.graph import running_total
 from topicloom.llm.hashing import mix
 from topicloom.storage import materialize
@@ -137,7 +139,7 @@ def _slots(plan: list[dict]):
 
 def row_version(docs: DataFrame) -> Column:
     """A hash of all columns: rows with the same id and version are the same."""
-    return F.xxhash64(*docs.columns)
+    return hash_of(docs)
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -209,12 +211,12 @@ def mixed(docs: DataFrame) -> DataFrame:
     """
     _, spans = mixture(docs)
     parts = spans.groupBy("doc_id", "version", "begin", "copy").agg(F.collect_list(F.struct("from_word", "to_word")).alias("spans"))
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    held = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", row_version(docs).alias("version"), F.struct(F.lit(0).alias("_"), *rest).alias("rest"))
+    rest = others(docs, "doc_id", "text")
+    held = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", row_version(docs).alias("version"), bundle(rest).alias("rest"))
     held = held.dropDuplicates(["doc_id", "version"])  # equal rows: each has its own parts
     parts = parts.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "spans")
     joined = held.join(parts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version")))
-    kinds = f"doc_id bigint, rest {held.schema['rest'].dataType.simpleString()}, text string"
+    kinds = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("rest", held.schema["rest"].dataType), T.StructField("text", T.StringType())])
     texts = joined.select("doc_id", "rest", "text", "spans").mapInArrow(_rendered, kinds)
-    own = {"doc_id": F.col("doc_id"), "text": F.col("text")}
-    return texts.select(*[own.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns])
+    own = unbundled(rest)
+    return texts.select(*[own.get(c, F.col(c.lower()).alias(c)) for c in docs.columns])

@@ -22,7 +22,7 @@ the input. The job:
 Rows are told apart by ``doc_id`` and a hash of the text. Null text has no words.
 A row with a null ``doc_id`` is kept whole and serves nobody as original; rows
 with the same ``doc_id`` do not remove each other's words. Extra columns are
-carried through by :func:`without_repeats`.
+carried through by :func:`without_repeats`, whatever they are called.
 """
 
 from __future__ import annotations
@@ -34,7 +34,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from topicloom.llm.columns import bundle, others, unbundled
 from topicloom.llm.hashing import covered, gram_hashes, window_minima, word_hashes
 from topicloom.storage import Workspace, spread
 
@@ -157,22 +159,41 @@ def release(work: Workspace, *tables: DataFrame) -> None:
     work.spark.sparkContext._jvm.System.gc()
 
 
-def without_repeats(docs: DataFrame, keep_layout: bool = False) -> DataFrame:
-    """``docs`` without its ``text``, plus ``n_words``, ``n_removed`` and ``kept_text``.
-
-    ``kept_text`` has the kept words joined by one space; with ``keep_layout``
-    texts that lose no word stay as they are, white space included.
-    """
-    rest = [c for c in docs.columns if c.lower() not in ("doc_id", "text")]
+def _cut_rows(docs: DataFrame, keep_layout: bool, rest: list[str]) -> DataFrame:
+    """``(doc_id, rest, n_words, n_removed, kept_text)``, the columns ``rest`` in a bundle."""
     held = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("version"),
-        F.struct(F.lit(0).alias("_"), *rest).alias("rest"),
-    )
+        F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("version"), bundle(rest).alias("rest"))
     later, found = repeated_windows(held.select("doc_id", "text", "version"))
     plan = found.withColumn("whole", F.lit(False)).unionByName(
         later.select("doc_id", "version", F.lit(None).cast("array<int>").alias("places"), F.lit(True).alias("whole"))
     )
     joined = held.join(plan, ["doc_id", "version"], "left").select("doc_id", "rest", "text", "whole", "places", F.lit(keep_layout).alias("layout"))
-    kinds = f"doc_id bigint, rest {held.schema['rest'].dataType.simpleString()}, n_words bigint, n_removed bigint, kept_text string"
-    cut = joined.mapInArrow(_cut, kinds)
-    return cut.select("doc_id", *[F.col("rest").getField(c).alias(c) for c in rest], "n_words", "n_removed", "kept_text")
+    kinds = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("rest", held.schema["rest"].dataType)])
+    for name, kind in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_text", T.StringType())):
+        kinds = kinds.add(name, kind)
+    return joined.mapInArrow(_cut, kinds)
+
+
+def without_repeats(docs: DataFrame, keep_layout: bool = False) -> DataFrame:
+    """``docs`` without its ``text``, plus ``n_words``, ``n_removed`` and ``kept_text``.
+
+    ``kept_text`` has the kept words joined by one space; with ``keep_layout``
+    texts that lose no word stay as they are, white space included. Columns of
+    ``docs`` with one of the three names give way to the results.
+    """
+    rest = others(docs, "doc_id", "text", "n_words", "n_removed", "kept_text")
+    cut = _cut_rows(docs, keep_layout, rest)
+    return cut.select("doc_id", *unbundled(rest).values(), "n_words", "n_removed", "kept_text")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """``docs``, all its columns, with the kept text in place of ``text``; rows that lost all their words go.
+
+    ``n_chars``, where there is one, follows the text; other columns stay as they are.
+    """
+    rest = others(docs, "doc_id", "text")
+    cut = _cut_rows(docs, True, rest).where("n_removed < n_words or n_removed = 0")
+    own = unbundled(rest)
+    own |= {c: F.length("kept_text").cast(docs.schema[c].dataType).alias(c) for c in rest if c.lower() == "n_chars"}
+    own |= {c: (F.col("doc_id") if c.lower() == "doc_id" else F.col("kept_text")).alias(c) for c in docs.columns if c not in own}
+    return cut.select(*[own[c] for c in docs.columns])
