@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.llm import fertility, minhash, mixing, packing, substrings
+from topicloom.llm.columns import all_of, free_name
 from topicloom.llm.registry import known_to_workers
 from topicloom.storage import Workspace
 
@@ -20,26 +21,27 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the fertility bands keep."""
-    kept = fertility.quality(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_version"))
-    return docs.withColumn("_row", fertility.row_version(docs)).join(kept, same, "left_semi").drop("_row")
+    kept = fertility.quality(docs).where("kept")
+    row, own, version = (free_name(docs, c) for c in ("_row", "_id", "_version"))
+    kept = kept.select(F.col("doc_id").alias(own), F.col("version").alias(version))
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(row) == F.col(version))
+    return docs.withColumn(row, fertility.row_version(docs)).join(kept, same, "left_semi").drop(row)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the least id, of each group of near copies; rows without an id stay."""
     gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(all_of(docs.columns))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that an earlier document holds; documents left without a word go."""
-    cut = substrings.without_repeats(docs, keep_layout=True).where("n_removed < n_words or n_removed = 0")
-    return cut.withColumnRenamed("kept_text", "text").withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
+    return substrings.deduplicated(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row for each copy of the words taken from a document."""
-    return mixing.mixed(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
+    return mixing.mixed(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(all_of(docs.columns))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
