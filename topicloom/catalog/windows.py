@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from topicloom.catalog.decayed import BAT, batched_ids
 from topicloom.catalog.registry import (
-    BATCHES, CHUNK, ENCODED, K, PARAMS, cells_sql, chunk_of, docs, query, table, wide, with_sql,
+    BATCHES, CHUNK, ENCODED, K, ORACLES, PARAMS, cells_sql, chunk_of, docs, query, table, talks, wide, with_sql,
 )
+from topicloom.catalog.relational import doc_rows
+from topicloom.catalog import sampling  # noqa: F401  registers the SQL of assign_topics
 from topicloom.operators import counts as C
-from topicloom.operators import decay
+from topicloom.operators import decay, gibbs
+from topicloom.operators import tokens as T
 from topicloom.sources import numbered as N
 from topicloom.sources import sinks
 from topicloom.storage import Workspace, materialize
@@ -31,6 +34,22 @@ def stream_docs_by_number(spark, sf):
     return spark.read.parquet(out).select("doc_id", F.col("batch_id").cast("bigint").alias("batch_id"))
 
 
+@query("assign_topics_stream", ORACLES["assign_topics"])
+def assign_topics_stream(spark, sf):
+    """Conversations scored as they arrive, against the documents' model: a stream-static join."""
+    work = Workspace(spark)
+    model = work.save(doc_rows(spark, sf), "model")
+    alpha = [1.0 + x for x in C.totals_list(model, K)]
+    path, out = work.new_path("numbered"), work.new_path("out")
+    number = N.append_numbered(talks(spark, sf), path)
+    stream = N.stream_numbered(spark, path, -(-max(number, 1) // BATCHES), work.new_path("position"))
+    scored = gibbs.assign_topics(T.token_table(stream), model, alpha, PARAMS)
+    write = sinks.table_writer(out)
+    counted = lambda batch, batch_id: write(C.topic_counts(batch, "doc_id"), batch_id)  # noqa: E731  a document lies in one batch
+    N.drain(sinks.write_stream(scored, counted, work.new_path("checkpoint"), "0 seconds").start())
+    return spark.read.parquet(out).select("doc_id", "topic", "cnt")
+
+
 @query(
     "sliding_batches",
     "SELECT epoch_us(start) AS start, epoch_us(start + INTERVAL 7 DAY) AS stop, CAST(sum(n) AS BIGINT) AS events, count(*) AS docs FROM ("
