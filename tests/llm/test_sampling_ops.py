@@ -155,3 +155,11 @@ def test_license_scan_equals_its_sql(spark):
     assert [best[d] for d in (500, 501, 502, 503)] == ["Apache-2.0", "MIT", "MIT", "GPL-3.0"]
     assert "Python" not in frame._jdf.queryExecution().toString() and "Exchange" not in frame._jdf.queryExecution().toString()
     assert licenses.scanned(docs.limit(0)).count() == 0
+
+
+def test_empty_documents(spark):
+    docs = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")
+    assert toxicity.scored(docs, labels).count() == 0
+    assert resampling.resampled(docs, labels).count() == 0
+    assert mixing.taken(docs).count() == 0 and mixing.mixed(docs).count() == 0
