@@ -336,3 +336,19 @@ def test_shard_kernel_equals_brute_force():
                 t[new] += 1
                 want[d][i] = new
     assert got == want and got != topics
+
+
+@pytest.mark.parametrize("name", ["stream_train", "trainers_by_name"])
+def test_no_token_is_lost_to_the_capacity(spark, folder, monkeypatch, name):
+    """More terms than the default dictionary holds: the stream queries still equal their SQL."""
+    import duckdb
+
+    from topicloom.catalog import ORACLES, QUERIES, training
+
+    rows = [(d, " ".join(f"w{(d * 5 + i) % 61}" for i in range(9))) for d in range(24)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    monkeypatch.setattr(training, "PARAMS", replace(training.PARAMS, vocab_capacity=20))
+    got = rows_of(QUERIES[name](spark, folder))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    assert got == sorted(con.sql(ORACLES[name]).fetchall(), key=str)
