@@ -75,13 +75,15 @@ def average_samples(samples: DataFrame, key: str, sweeps: int, kept: int) -> Dat
     return counted.withColumn("cnt", F.col("cnt") / F.lit(float(used)))
 
 
-def sweep_delta(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+def sweep_delta(before: DataFrame, after: DataFrame, key: str, cnt: str | None = None) -> DataFrame:
     """(key, topic, delta) between two assignments of the same tokens; zeros drop out.
 
-    Each side is summed before the shuffle, as one +1/-1 aggregation.
+    Each side is summed before the shuffle, as one +1/-1 aggregation. Rows stand for
+    one token, or for as many as their column ``cnt`` says.
     """
-    signed = after.select(key, "topic", F.lit(1).alias("delta")).unionByName(
-        before.select(key, "topic", F.lit(-1).alias("delta"))
+    many = F.lit(1) if cnt is None else F.col(cnt)
+    signed = after.select(key, "topic", many.alias("delta")).unionByName(
+        before.select(key, "topic", (-many).alias("delta"))
     )
     return signed.groupBy(key, "topic").agg(F.sum("delta").alias("delta")).where(F.col("delta") != 0)
 
