@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from topicloom.catalog.registry import (
-    BATCHES, CHUNK, ENCODED, ITEM_TOKENS, K, PARAMS, cells_sql, chunk_of, encoded, item_tokens, query, sums_sql,
-    table, unpivot_sql, uniform_sql, wide, with_sql,
+    BATCHES, CHUNK, ENCODED, ITEM_TOKENS, K, PARAMS, batch_rows, cells_sql, chunk_of, item_tokens, query, sums_sql,
+    table, term_rows, unpivot_sql, uniform_sql, wide, with_sql,
 )
 from topicloom.functions import vectors as V
 from topicloom.operators import counts as C
@@ -22,19 +22,10 @@ def power(gap: str) -> str:
     return f"pow(CAST({KEEP} AS DOUBLE), CAST({gap} AS DOUBLE))"
 
 
-def batched_ids(spark, sf):
-    """(vocabulary, tokens with ids, topics and batch number)."""
-    vocab, tokens = encoded(spark, sf)
-    return vocab, tokens.withColumn("b", F.floor(F.col("doc_id") / chunk_of(spark, sf)).cast("bigint"))
-
-
 def stored_rows(spark, sf):
     """All counts of a word, stamped with its last batch."""
-    vocab, tokens = batched_ids(spark, sf)
-    rows = tokens.groupBy("wid").agg(
-        V.count_topics(F.col("topic"), K).alias("n"), F.max("b").cast("bigint").alias("last_batch")
-    )
-    return vocab, materialize(rows, "rows")
+    batch = F.floor(F.col("doc_id") / chunk_of(spark, sf)).cast("bigint")
+    return term_rows(spark, sf, last_batch=F.max(batch))
 
 
 @query("decay_rows", with_sql(*ENCODED, BAT, ROWS)
@@ -102,11 +93,11 @@ CLOSED = (
 def replayed(spark, sf):
     """(vocabulary, rows, totals) after blending the batches one by one."""
     work = Workspace(spark)
-    vocab, tokens = batched_ids(spark, sf)
+    vocab, parts = batch_rows(spark, sf)
     rows = spark.createDataFrame([], "wid bigint, n array<double>, last_batch bigint")
     totals = [0.0] * K
     for b in range(BATCHES):
-        counts = work.save(C.topic_vectors(tokens.where(F.col("b") == b), "wid", K), f"counts{b}")
+        counts = parts.where(F.col("b") == b).select("wid", "n")
         fresh = counts.join(rows.select("wid"), "wid", "left_anti").count()
         added = C.totals_list(counts, K)
         totals = [t + PARAMS.beta * fresh + PARAMS.rate * c for t, c in zip(decay.decay_totals(totals, 1, PARAMS.rate), added)]

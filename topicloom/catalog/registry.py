@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.functions import vectors as V
@@ -86,6 +86,28 @@ def encoded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return vocab, materialize(tokens, "encoded")
 
 
+def term_rows(spark: SparkSession, sf: str, **more: Column) -> tuple[DataFrame, DataFrame]:
+    """(vocabulary, saved rows (wid, n and ``more`` aggregates of ``doc_id``)) of the drawn documents.
+
+    Counted by term in one pass and named by ids afterwards: a row per term meets the vocabulary, not one per token.
+    """
+    counted = drawn(doc_tokens(spark, sf)).groupBy("term").agg(
+        V.count_topics(F.col("topic"), K).alias("n"), *[column.alias(name) for name, column in more.items()])
+    rows = materialize(counted, "term-rows")
+    vocab = build_vocab_sorted(rows.select("term", V.total(F.col("n"), K).cast("bigint").alias("freq")))
+    return vocab, materialize(rows.join(vocab.select("term", "wid"), "term").select("wid", "n", *more), "rows")
+
+
+def batch_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(vocabulary, saved rows (wid, b, n)): the same per batch number."""
+    size = chunk_of(spark, sf)
+    tokens = drawn(doc_tokens(spark, sf)).withColumn("b", F.floor(F.col("doc_id") / size).cast("bigint"))
+    rows = materialize(V.count_vectors(tokens, ["term", "b"], K), "term-rows")
+    freqs = rows.groupBy("term").agg(F.sum(V.total(F.col("n"), K)).cast("bigint").alias("freq"))
+    vocab = build_vocab_sorted(freqs)
+    return vocab, materialize(rows.join(vocab.select("term", "wid"), "term").select("wid", "b", "n"), "rows")
+
+
 def chunk_of(spark: SparkSession, sf: str) -> int:
     """Chunk size that cuts the documents into ``BATCHES`` batches; 1 without documents."""
     last = table(spark, sf, "documents").agg(F.max("doc_id")).first()[0]

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from topicloom.catalog.decayed import BAT, batched_ids
+from topicloom.catalog.decayed import BAT
 from topicloom.catalog.registry import (
-    BATCHES, CHUNK, ENCODED, K, ORACLES, PARAMS, cells_sql, chunk_of, docs, query, table, talks, wide, with_sql,
+    batch_rows, BATCHES, CHUNK, ENCODED, K, ORACLES, PARAMS, cells_sql, chunk_of, docs, query, table, talks, wide, with_sql,
 )
 from topicloom.catalog.relational import doc_rows
 from topicloom.catalog import sampling  # noqa: F401  registers the SQL of assign_topics
@@ -135,10 +135,9 @@ CLOCK = tuple(max(TIMES[: i + 1]) for i in range(BATCHES))
 )
 def blend_late_batch(spark, sf):
     """Batches blended in order of arrival, one of them late."""
-    _, tokens = batched_ids(spark, sf)
-    counted = materialize(tokens, "tokens")
+    _, parts = batch_rows(spark, sf)
     work, rows = Workspace(spark), spark.createDataFrame([], "wid bigint, n array<double>, last_batch bigint")
     for b in range(BATCHES):
-        counts = C.topic_vectors(counted.where(F.col("b") == b), "wid", K)
+        counts = parts.where(F.col("b") == b).select("wid", "n")
         rows = work.save(decay.blend_batch(rows, counts, max(TIMES[: b + 1]), PARAMS), f"rows{b}")
     return wide(decay.decay_rows(rows, CLOCK[-1], PARAMS), "wid", "last_batch")
