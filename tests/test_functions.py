@@ -174,3 +174,26 @@ def test_salts_hold_a_bounded_number_of_rows_at_any_size(spark):
     salts = {r.wid: r._salts for r in hot_keys(counts, "wid", "cnt").collect()}
     assert set(salts) == {1, 2} and 5 * 10**11 / salts[1] < 10**8
     assert sum(salts.values()) <= 2 * (1 << 17)
+
+
+def test_a_python_segmenter_holds_the_terms_of_few_texts(monkeypatch):
+    """Terms are Python objects for a slice of a batch only, whatever the batch holds."""
+    import pyarrow as pa
+
+    from topicloom.functions import segmenters
+
+    class Term(str):
+        alive, most = 0, 0
+
+        def __init__(self, *_):
+            Term.alive += 1
+            Term.most = max(Term.most, Term.alive)
+
+        def __del__(self):
+            Term.alive -= 1
+
+    monkeypatch.setattr(segmenters, "TEXTS", 4)
+    segment = segmenters.python_segmenter(lambda text: [Term(word) for word in text.split()]).func
+    got = segment(pa.array(["a b c"] * 41 + [None, ""])).to_pylist()
+    assert got == [["a", "b", "c"]] * 41 + [None, []] and Term.most <= 2 * 4 * 3
+    assert segment(pa.array([], pa.string())).to_pylist() == []

@@ -1,4 +1,4 @@
-"""Segmenters that need Python: pandas UDFs, Arrow batches in and out.
+"""Segmenters that need Python: Arrow UDFs, Arrow batches in and out.
 
 They plug in where a column function does (``functions.text.Segmenter``). Use
 the built-in ones where they suffice; these are for grammars and dictionaries the
@@ -10,7 +10,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
@@ -22,14 +22,19 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Words of letters, with single hyphens and apostrophes inside.
 WORDS = r"\p{L}+(?:[-']\p{L}+)*"
 DICTIONARY_WORDS = 1_000_000
+TEXTS = 128  # whose terms are Python objects at a time; the rest of a batch is Arrow
+TERMS = pa.list_(pa.string())
 
 
 def python_segmenter(split: Callable[[str], list[str]]) -> Segmenter:
     """A segmenter from a function of one text; null text stays null."""
 
-    @F.pandas_udf("array<string>")
-    def segment(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda text: None if text is None else split(text))
+    def terms(texts: pa.Array) -> pa.Array:
+        return pa.array([None if text is None else split(text) for text in texts.to_pylist()], TERMS)
+
+    @F.arrow_udf("array<string>")
+    def segment(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([terms(texts.slice(at, TEXTS)) for at in range(0, max(len(texts), 1), TEXTS)])
 
     return segment
 
