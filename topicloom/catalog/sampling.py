@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from topicloom.catalog.registry import (
-    DOC_TOKENS, ENCODED, K, PARAMS, TALK_TOKENS, cells_sql, doc_tokens, drawn, drawn_sql, draw_sql,
-    encoded, freq_sql, query, sums_sql, talk_tokens, topic_sql, uniform_sql, wide, with_sql,
+    DOC_TOKENS, ENCODED, K, PARAMS, TALK_TOKENS, cells_sql, doc_tokens, docs, drawn, drawn_sql, draw_sql,
+    encoded, freq_sql, packed_docs, query, sums_sql, talk_tokens, topic_sql, uniform_sql, wide, with_sql,
 )
 from topicloom.catalog.relational import BOTH_ROWS, DOC_ROWS, doc_rows
 from topicloom.functions import sampling as S
 from topicloom.functions import vectors as V
 from topicloom.operators import counts as C
-from topicloom.operators import gibbs
+from topicloom.operators import gibbs, quality
+from topicloom.operators import texts as X
 from topicloom.operators.skew import keyed_join
 from topicloom.plans import online
 from topicloom.storage import materialize
@@ -32,10 +33,8 @@ def own_sql(i: int, topic: str = "topic") -> str:
 )
 def categorical_draw(spark, sf):
     """Every token drawn from its word's topic counts plus one."""
-    tokens = drawn(doc_tokens(spark, sf))
-    joined = keyed_join(tokens.drop("topic"), doc_rows(spark, sf), "term", "inner", gibbs.hot_in(tokens, "term"), ("doc_id", "pos"))
-    weight = lambda i: V.at(F.col("n"), i) + 1.0
-    return S.draw_topics(joined, weight, gibbs.token_uniform(PARAMS, 1), K).select("doc_id", "pos", "topic")
+    counted = materialize(X.counted_texts(docs(spark, sf), PARAMS), "texts")
+    return X.draw_by_terms(counted, quality.smoothed(X.term_vectors(counted, K), 1.0, K), PARAMS, 1)
 
 
 @query("init_topics_uniform", with_sql(DOC_TOKENS, drawn_sql("dr", "tok")) + "SELECT doc_id, pos, topic FROM dr")
@@ -166,7 +165,8 @@ def sweep_sql(source: str, word: str, doc: str, key: str, sweep: int, alpha: str
     + sweep_sql("enc", "wr", "docr", "wid", 1, "1", "1", "s.v", "CROSS JOIN tot a CROSS JOIN size s") + ")",
 )
 def gibbs_sweep_sync(spark, sf):
-    return gibbs.gibbs_sweep_sync(encoded(spark, sf)[1], PARAMS, 1)
+    swept = gibbs.sync_packed(packed_docs(spark, sf)[1], PARAMS, 1)
+    return swept.where(F.col("doc_id").isNotNull())  # tokens without a document meet no document counts
 
 
 def _online_sql() -> str:
