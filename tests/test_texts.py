@@ -1,14 +1,18 @@
 """Texts as rows of term numbers against the same work on token rows."""
 
 import numpy as np
+import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
+from topicloom.catalog import QUERIES
 from topicloom.functions.sampling import keyed_uniform
 from topicloom.functions.uniforms import keyed_uniforms
 from topicloom.operators import gibbs, shards, texts as X, tokens as T
 from topicloom.operators.counts import topic_vectors
 from topicloom.operators.vocab import build_vocab_sorted
 from topicloom.params import TopicParams
+from topicloom.plans import online
 from topicloom.storage import materialize
 
 PARAMS = TopicParams(num_topics=3, segment_tokens=4)
@@ -53,3 +57,22 @@ def test_texts_are_counted_without_a_row_per_token(spark):
     counted = materialize(X.counted_texts(docs, PARAMS), "counted")
     assert X.document_number(counted) == (4, True)
     assert sorted_rows(X.term_vectors(counted, 3)) == sorted_rows(topic_vectors(gibbs.init_topics_uniform(tokens, PARAMS), "term", 3))
+
+
+@pytest.mark.parametrize("forget", [False, True])
+def test_online_steps_over_texts_equal_those_over_tokens(spark, monkeypatch, forget):
+    """Null and repeated documents, also across parts, terms known and new, an empty batch."""
+    monkeypatch.setattr(X, "PART_TOKENS", 9)
+    one = odd_docs(spark)
+    two = spark.createDataFrame([(d, " ".join("abcdexyz"[(d * 5 + i * i) % 8] for i in range(12))) for d in (3, 4, 4, 9, 7)], one.schema)
+    batches = [one.limit(0), one, one.limit(0), two.unionByName(one)]
+    want = online.fit_online([T.token_table(b) for b in batches], PARAMS, forget)
+    got = online.fit_online_texts(batches, PARAMS, forget)
+    assert sorted_rows(got.rows) == sorted_rows(want.rows)
+    assert (got.alpha, got.iteration) == (want.alpha, want.iteration)
+    assert got.iteration == 2
+
+
+def test_online_query_makes_no_row_per_token(spark, monkeypatch):
+    monkeypatch.setattr(T, "token_table", None)
+    assert QUERIES["fit_online"](spark, SF).count() > 0

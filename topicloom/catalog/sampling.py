@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from topicloom.catalog.registry import (
     DOC_TOKENS, ENCODED, K, PARAMS, TALK_TOKENS, cells_sql, doc_tokens, docs, drawn, drawn_sql, draw_sql,
-    encoded, freq_sql, packed_docs, query, sums_sql, talk_tokens, topic_sql, uniform_sql, wide, with_sql,
+    encoded, freq_sql, packed_docs, query, sums_sql, talk_tokens, talks, topic_sql, uniform_sql, wide, with_sql,
 )
 from topicloom.catalog.relational import BOTH_ROWS, DOC_ROWS, doc_rows
 from topicloom.functions import sampling as S
@@ -201,7 +201,7 @@ def _online_sql() -> str:
 
 @query("fit_online", _online_sql())
 def fit_online(spark, sf):
-    model = online.fit_online([doc_tokens(spark, sf), talk_tokens(spark, sf)], PARAMS)
+    model = online.fit_online_texts([docs(spark, sf), talks(spark, sf)], PARAMS)
     return wide(model.rows, "term")
 
 
