@@ -10,9 +10,9 @@ bigrams can reach ``DICE`` only in units of ``n x DICE / (2 - DICE)`` to
 A notice that shares its line or paragraph with other words is met too: with the
 units' own notices taken out, the runs of words that begin and end with one of a
 template's bigrams and have at most as many bigrams as its bound are compared with
-it, over the whole text. Of runs that count and overlap the best stands. Only texts
-that hold one of each of a template's ``needed_words`` are read so, as every run that counts does. (The
-SQL twin reads the units alone.)
+it, over the whole text. Of runs that count and overlap the best stands. Every run and every unit that
+counts holds one of each of its template's ``needed_words``, so only texts that do are normalised and
+read in units, and only those that do as whole words are read in runs. (The SQL twin reads the units alone.)
 
 Everything is one projection of DataFrame functions: no shuffle, no join, no
 Python, whatever the sizes or copies in the table. Null or empty text: no notice;
@@ -101,8 +101,26 @@ def _templates() -> Column:
     return F.array(*rows)
 
 
+def lowered(text: Column) -> Column:
+    return F.translate(text, UPPER, LOWER)
+
+
 def normalised(text: Column) -> Column:
-    return F.regexp_replace(F.translate(text, UPPER, LOWER), r"[^a-z0-9\n]+", " ")
+    return F.regexp_replace(lowered(text), r"[^a-z0-9\n]+", " ")
+
+
+def may_hold(text: Column, around: str = "") -> Column:
+    """Whether a text, lowered, holds one of each of some template's ``needed_words``, as one with a notice does.
+
+    A unit that counts shares as many bigrams with its template as a run does. ``around`` is what stands on both sides
+    of a word; with nothing there, parts of words are let through as well. Most texts hold no word of any first list, so
+    these are looked for first, each once.
+    """
+    one = lambda words: reduce(or_, [text.contains(f"{around}{w}{around}") for w in words])
+    lists = [needed_words(t) for _, t in TEMPLATES]
+    first = {f"{around}{w}{around}" for of_template in lists for w in of_template[0]}
+    least = sorted(w for w in first if not any(v != w and v in w for v in first))
+    return reduce(or_, [text.contains(w) for w in least]) & reduce(or_, [reduce(and_, [one(words) for words in of_template]) for of_template in lists])
 
 
 def pairs(w: Column) -> Column:
@@ -187,8 +205,7 @@ def runs(plain: Column) -> Column:
         return F.transform(best, lambda m: F.struct(m["dice"].alias("dice"), m["name"].alias("name")))
 
     padded = F.concat(F.lit(" "), F.translate(plain, "\n", " "), F.lit(" "))
-    one = lambda p, words: reduce(or_, [p.contains(f" {w} ") for w in words])
-    some = let(padded, lambda p: reduce(or_, [reduce(and_, [one(p, words) for words in needed_words(t)]) for _, t in TEMPLATES]))
+    some = let(padded, lambda p: may_hold(p, " "))
     words = lambda r: let(words_of(r), lambda w: F.when(F.size(w) > 1, let(pairs(w), counted)))
     return F.coalesce(F.when(some, words(_rest(plain))), F.array().cast("array<struct<dice:double,name:string>>"))
 
@@ -199,7 +216,9 @@ def scanned(docs: DataFrame) -> DataFrame:
         units = F.filter(F.transform(unit_bigrams(plain), lambda g: best_match(g)), lambda m: m.isNotNull())
         return F.concat(units, runs(plain))
 
-    found = docs.select("doc_id", let(normalised(F.coalesce("text", F.lit(""))), notices).alias("found"))
+    low = docs.select("doc_id", lowered(F.coalesce("text", F.lit(""))).alias("low"))
+    none = F.array().cast("array<struct<dice:double,name:string>>")
+    found = low.select("doc_id", F.when(may_hold(F.col("low")), let(normalised(F.col("low")), notices)).otherwise(none).alias("found"))
     best = found.select("doc_id", F.size("found").alias("n_notices"), F.array_max("found").alias("best"), "found")
     names = F.array_sort(F.array_distinct(F.col("found")["name"]))
     return best.select(
