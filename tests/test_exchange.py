@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF
+from topicloom.catalog import registry
 from topicloom.operators import exchange, gibbs, shards
 from topicloom.operators import tokens as T
 from topicloom.params import TopicParams
@@ -74,3 +76,10 @@ def test_draws_are_those_of_the_sweep_over_rows(spark, planted, changes):
         based = shards.refresh_base(packed, params) if packed.where("seg > 0").count() else packed
         packed = work.save(shards.sweep_shards(based, rows, smooth, params, fill=params.beta, first=sweep), "swept")
     assert rows_of(model.tokens) == rows_of(shards.unpack_tokens(packed).select(*model.tokens.columns))
+
+
+def test_numbered_texts_go_once_they_are_packed(spark, monkeypatch):
+    dropped, drop = [], Workspace.drop
+    monkeypatch.setattr(Workspace, "drop", lambda self, table: (dropped.append(table.columns), drop(self, table))[1])
+    registry.packed_docs(spark, SF)
+    assert ["part", "doc_id", "codes", "terms", "freqs"] in dropped
